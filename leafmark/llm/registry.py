@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leafmark.llm import packing, wavelet
+from leafmark.llm import langid, packing, simhash, wavelet
 
 
 def queries() -> dict:
     return {
         "op3_wavelet_tokens": wavelet.query,
+        "op6_language_crf": langid.query,
         "op7_pack_best_fit": packing.query,
+        "op9_simhash_gray": simhash.query,
     }
 
 
