@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from leafmark.llm import langid, packing, simhash, wavelet
+from leafmark.llm import langid, licenses, packing, quality, simhash, wavelet
 
 
 def queries() -> dict:
     return {
+        "op1_quality_divergence": quality.query,
+        "op2_license_scan": licenses.query,
         "op3_wavelet_tokens": wavelet.query,
         "op6_language_crf": langid.query,
         "op7_pack_best_fit": packing.query,
