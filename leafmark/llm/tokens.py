@@ -12,14 +12,19 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept per worker; the older half goes when the cache is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Pieces within words (letter runs and the like) kept per worker.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
+#: Letters and numbers of Latin-1 (fixed values), for the tokenizer's pattern on words of Latin-1.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -28,17 +33,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Halving(dict):
-    """A dict that forgets its oldest half when it holds ``most`` entries."""
+class _Cache(dict):
+    """A dict that computes what it lacks, and forgets its oldest half when it holds ``most`` entries."""
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, compute: Callable) -> None:
         super().__init__()
-        self.most = most
+        self.most, self.compute = most, compute
 
-    def room(self, coming: int) -> None:
-        if len(self) + coming > self.most:
-            for k in list(itertools.islice(self, max(len(self) // 2, len(self) + coming - self.most))):
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            for k in list(itertools.islice(self, self.most // 2)):
                 del self[k]
+        value = self[key] = self.compute(key)
+        return value
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte value."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
@@ -50,8 +64,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
@@ -59,49 +72,33 @@ class WordEncoder:
             spec = json.load(f)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
-        model, self.fast = spec["model"], None
+        model, self.cut = spec["model"], None
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if model["type"] == "BPE" and steps == ["NFC", "Replace", "Lowercase"] and split[0].get("type") == "Split":
+        if model["type"] == "BPE" and steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]:
             merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
-            bpe = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
-            self.fast = Tokenizer(bpe)
-            self.fast.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.cut = regex.compile(split[0]["pattern"]["Regex"]).findall
-        self.plain = regex.compile(r"[!-;=-~¡-ÿ]+").fullmatch  # Latin-1 without "<", which begins special tokens
-        self.words, self.pieces = _Halving(CACHE_WORDS), _Halving(CACHE_PIECES)
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the cache lacks."""
-        pack = lambda ids: np.array(ids, "<u2").tobytes()
-        cut, odd = {}, []
-        for w in words:
-            s = w.decode()
-            if self.fast is not None and self.plain(s):
-                cut[w] = self.cut(s.lower())
-            else:
-                odd.append((w, s))
-        new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        known = dict(zip(new, (pack(e.ids) for e in self.fast.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
-        get = self.pieces.get
-        out = {w: b"".join([known[p] if p in known else get(p) for p in ps]) for w, ps in cut.items()}
-        if odd:
-            out |= zip((w for w, _ in odd), (pack(e.ids) for e in self.whole.encode_batch_fast([s for _, s in odd], add_special_tokens=False)), strict=True)
-        self.pieces.room(len(known))
-        self.pieces.update(itertools.islice(known.items(), CACHE_PIECES))
-        return out
+            self.tokenize = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0).tokenize
+            pattern = split[0]["pattern"]["Regex"]
+            for name, own in ((r"\p{L}", LETTERS), (r"\p{N}", NUMBERS)):
+                pattern = pattern.replace(name, own)
+            self.cut = re.compile(pattern).findall
+        self.letters = _byte_letters()
+        self.plain = re.compile(r"[!-;=-~¡-ÿ]+").fullmatch  # Latin-1 without "<", which begins special tokens
+        self.piece = _Cache(CACHE_PIECES, self._piece_ids).__getitem__
+        self.word = _Cache(CACHE_WORDS, self._word_ids).__getitem__
+
+    def _piece_ids(self, piece: str) -> bytes:
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.tokenize(written)]).tobytes()
+
+    def _word_ids(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.cut is not None and self.plain(text):
+            return b"".join(map(self.piece, self.cut(text.lower())))
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        get = self.words.get
-        found = list(map(get, words))
-        if None in found:
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            learnt = self._learn(new)
-            found = [learnt[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            self.words.room(len(learnt))
-            self.words.update(itertools.islice(learnt.items(), CACHE_WORDS))
-        return b"".join(found)
+        return b"".join(map(self.word, (text or "").encode().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -202,11 +202,11 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                 segment, before, ids, lengths, held, size = segment + 1, before + size, [], [], [], 0
             if at != shard:
                 shard, segment, before = at, 0, 0
-            got = encode(text) + end
-            held.append(got)
+            own = encode(text) + end
+            held.append(own)
             ids.append(doc_id)
-            lengths.append(len(got) // 2)
-            size += len(got) // 2
+            lengths.append(len(own) // 2)
+            size += len(own) // 2
         if held:
             yield flush()
 
