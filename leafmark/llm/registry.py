@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import langid, licenses, packing, quality, simhash, wavelet
+from leafmark.llm import langid, licenses, packing, quality, secrets, simhash, wavelet
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_wavelet_tokens": wavelet.query,
         "op6_language_crf": langid.query,
         "op7_pack_best_fit": packing.query,
+        "op8_secret_crf": secrets.query,
         "op9_simhash_gray": simhash.query,
     }
 
