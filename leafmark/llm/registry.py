@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import langid, licenses, packing, quality, secrets, simhash, wavelet
+from leafmark.llm import langid, licenses, packing, quality, secrets, simhash, suffixes, wavelet
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_divergence": quality.query,
         "op2_license_scan": licenses.query,
         "op3_wavelet_tokens": wavelet.query,
+        "op4_suffix_repeats": suffixes.query,
         "op6_language_crf": langid.query,
         "op7_pack_best_fit": packing.query,
         "op8_secret_crf": secrets.query,
