@@ -8,9 +8,10 @@ label probabilities, and a text's are their mean over its words with a letter.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BUCKETS = 1 << 15
 WIDTH = 20
 ROUNDS = 30
 UNDETERMINED = "und"
+#: Mean probability below which a text is in no learned language for certain.
+LEAST_SCORE = 0.4
 
 
 def held_out() -> Column:
@@ -135,16 +138,11 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 _SCORES: dict[bytes, crf.TypeScores] = {}
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs (doc_id, text).
-
-    A null text, or one without a letter, is ``und`` with score 0, as is every
-    text if there was nothing to learn from. Ties go to the first language in
-    order of its name. Only the text is used.
-    """
+def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
+    """A function from (doc_id, text) rows to (doc_id, lang_pred, score) rows in the same order."""
     key = b"" if model is None else model.weights.tobytes()[:4096] + model.trans.tobytes()
 
-    def rows(each: Iterator[tuple]) -> Iterator[tuple]:
+    def rows(each: Iterable[tuple]) -> Iterator[tuple]:
         if model is None:
             yield from ((doc_id, UNDETERMINED, 0.0) for doc_id, _ in each)
             return
@@ -197,7 +195,39 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             block()
         yield from results()
 
-    return map_rows(docs.select("doc_id", "text"), rows, "doc_id bigint, lang_pred string, score double")
+    return rows
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs (doc_id, text).
+
+    A null text, or one without a letter, is ``und`` with score 0, as is every
+    text if there was nothing to learn from. Ties go to the first language in
+    order of its name. Only the text is used.
+    """
+    return map_rows(docs.select("doc_id", "text"), _labels(model), "doc_id bigint, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """docs with the same columns, without rows that are ``und`` or score below least.
+
+    Learns from the labelled rows of docs. Without any, nothing can be told between
+    languages, and only rows without a letter go.
+    """
+    model = learn(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    label = _labels(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = label((None, t) for t in part.column(at).to_pylist())
+                yield part.filter(pa.array([y != UNDETERMINED and score >= least for _, y, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import langid, licenses, packing, quality, secrets, simhash, suffixes, wavelet
+from leafmark.llm import decontam, langid, licenses, linededup, packing, quality, secrets, simhash, suffixes, wavelet
 
 
 def queries() -> dict:
@@ -11,12 +11,14 @@ def queries() -> dict:
         "op2_license_scan": licenses.query,
         "op3_wavelet_tokens": wavelet.query,
         "op4_suffix_repeats": suffixes.query,
+        "op5_line_dedup": linededup.query,
         "op6_language_crf": langid.query,
         "op7_pack_best_fit": packing.query,
         "op8_secret_crf": secrets.query,
         "op9_simhash_gray": simhash.query,
+        "op10_lsi_decontamination": decontam.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": linededup.SQL}
