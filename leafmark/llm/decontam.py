@@ -10,6 +10,7 @@ item's answer is there too, so that paraphrases count and chance likeness does n
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ COSINE = 0.60
 VERBATIM, PARAPHRASE, ANSWER = 0.80, 0.50, 0.5
 #: An item of fewer words must be there word for word.
 SHORT = 8
+#: Words of less weight are too common to tell an item by, and are left out of both sides
+#: of the comparison unless fewer than SHORT would be left of the item.
+LIGHT = 1.0
 #: Items (with all their passages) of a block; more items are searched block by block.
 ITEM_BLOCK = 20_000
 CACHE_WORDS = 400_000
@@ -149,13 +153,20 @@ class Index:
     """Benchmark items, their latent passages, and what finding them in a text takes."""
 
     def __init__(self, items: list[tuple[int, str]], weights: np.ndarray, basis: np.ndarray) -> None:
-        self.items = [(i, words_of(t), words_of(sentences[-1] if (sentences := [s for s in (t or "").replace("?", ".").replace("!", ".").split(".") if words_of(s)]) else "")) for i, t in items]
         self.weights = weights.astype(np.float32)
+        self.items = []
+        for i, t in items:
+            sentences = [w for s in re.split("[.?!]", t or "") if (w := words_of(s))]
+            words, answer = words_of(t), sentences[-1] if sentences else []
+            telling = self.telling(words)
+            # The item's place among ids, its words, those compared, those of its answer, and whether common ones are out.
+            bare = len(telling) >= SHORT
+            self.items.append((i, words, telling if bare else words, (self.telling(answer) or answer) if bare else answer, bare))
         has = np.abs(basis).sum(1) > 0
         self.row = np.where(has, np.cumsum(has), 0).astype(np.int32)
         self.basis = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), basis[has] * self.weights[has, None]])
         owners, latent = [], []
-        for k, (_, words, _) in enumerate(self.items):
+        for k, (_, words, *_) in enumerate(self.items):
             ids = bins_of(words)
             for p in passages(ids) if len(ids) else ():
                 owners.append(k)
@@ -164,6 +175,10 @@ class Index:
         self.owners = np.array(owners, np.int64)
         self.latent = np.array(latent, np.float32).reshape(len(owners), self.basis.shape[1])
 
+    def telling(self, words: list[bytes]) -> list[bytes]:
+        """The words that are not too common."""
+        return [w for w, x in zip(words, self.weights[bins_of(words)], strict=True) if x >= LIGHT]
+
     def candidates(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(item's place, first word of the passage, cosine) from COSINE on."""
         if not words or not len(self.owners):
@@ -185,13 +200,13 @@ class Index:
         words = words_of(text)
         best: dict[int, tuple[float, float, float, int]] = {}
         for k, at, cosine in self.candidates(words):
-            _, item, answer = self.items[k]
-            reach = len(item)
-            region = words[max(0, at - reach) : at + 2 * STEP + reach]
-            if len(item) < SHORT:
+            _, whole, item, answer, bare = self.items[k]
+            region = words[max(0, at - len(whole)) : at + 2 * STEP + len(whole)]
+            if len(whole) < SHORT:
                 joined = b" ".join([b"", *region, b""])
-                share = found = float(b" ".join([b"", *item, b""]) in joined)
+                share = found = float(b" ".join([b"", *whole, b""]) in joined)
             else:
+                region = self.telling(region) if bare else region
                 # The best stretch about as long as the item, not scattered words of a long region.
                 span, share, found = len(item) + len(item) // 4, 0.0, 0.0
                 if sum(map(set(region).__contains__, item)) < PARAPHRASE * len(item) or lcs(item, region) < PARAPHRASE * len(item):
