@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     """The whole catalogue."""
-    from leafmark.plans import catalog_text  # noqa: F401  adds its own
+    from leafmark.plans import catalog_forms, catalog_text  # noqa: F401  add their own
 
     return CATALOG
 
