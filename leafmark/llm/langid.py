@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import crf
 from leafmark.llm.arrow import map_rows
+from leafmark.llm.caches import held
 from leafmark.storage import table
 
 #: Labelled rows to learn from, for each language, at most, and their characters at most.
@@ -135,9 +136,6 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-_SCORES: dict[bytes, crf.TypeScores] = {}
-
-
 def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
     """A function from (doc_id, text) rows to (doc_id, lang_pred, score) rows in the same order."""
     key = b"" if model is None else model.weights.tobytes()[:4096] + model.trans.tobytes()
@@ -147,10 +145,7 @@ def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]
             yield from ((doc_id, UNDETERMINED, 0.0) for doc_id, _ in each)
             return
         k = len(model.languages)
-        if key not in _SCORES:
-            _SCORES.clear()
-            _SCORES[key] = crf.TypeScores(model.emissions, k + 1)
-        scores = _SCORES[key]
+        scores = held(("langid", key), lambda: crf.TypeScores(model.emissions, k + 1))
         held: list[tuple[int, int]] = []  # (document's place, words) of the block
         ids: list = []
         words: list[str] = []

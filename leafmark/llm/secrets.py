@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import crf
 from leafmark.llm.arrow import map_rows
+from leafmark.llm.caches import held
 from leafmark.storage import table
 
 #: Base patterns in their listed order (fixed values).
@@ -172,15 +173,8 @@ def learn(texts: list[str], seed: int = 11) -> Model:
     return Model(weights, trans)
 
 
-_SCORES: dict[bytes, crf.TypeScores] = {}
-
-
 def _scores(model: Model) -> crf.TypeScores:
-    key = model.weights.tobytes()[:4096]
-    if key not in _SCORES:
-        _SCORES.clear()
-        _SCORES[key] = crf.TypeScores(model.emissions, 3 * LABELS + 1)
-    return _SCORES[key]
+    return held(("secrets", model.weights.tobytes()[:4096]), lambda: crf.TypeScores(model.emissions, 3 * LABELS + 1))
 
 
 def tagged_words(words: list[str], model: Model) -> np.ndarray:

@@ -18,6 +18,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from leafmark.llm.caches import held
+
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept per worker; the older half goes when the cache is full.
 CACHE_WORDS = 800_000
@@ -101,14 +103,9 @@ class WordEncoder:
         return b"".join(map(self.word, (text or "").encode().split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a file; its cache lasts as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder for a file; its cache lasts until another operator needs one."""
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def crc_u32(ids: np.ndarray) -> int:
