@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import crf
+from leafmark.llm import caches, crf
 from leafmark.llm.arrow import map_rows
-from leafmark.llm.caches import held
 from leafmark.storage import table
 
 #: Labelled rows to learn from, for each language, at most, and their characters at most.
@@ -145,7 +144,7 @@ def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]
             yield from ((doc_id, UNDETERMINED, 0.0) for doc_id, _ in each)
             return
         k = len(model.languages)
-        scores = held(("langid", key), lambda: crf.TypeScores(model.emissions, k + 1))
+        scores = caches.held(("langid", key), lambda: crf.TypeScores(model.emissions, k + 1))
         held: list[tuple[int, int]] = []  # (document's place, words) of the block
         ids: list = []
         words: list[str] = []
