@@ -211,12 +211,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 # the corpus ----------------------------------------------------------------------
 
-MARKED = "uid bigint, doc_id bigint, n_bytes bigint, sha256 string, copy_of bigint, data binary, hashes array<bigint>, places array<int>, least array<int>, most array<int>"
+#: data is zstd-compressed, as it is dealt out twice; spots hold place << 16 | least << 8 | most of each anchor.
+MARKED = "uid bigint, doc_id bigint, n_bytes bigint, sha256 string, copy_of bigint, data binary, hashes array<bigint>, spots array<bigint>"
+
+
+def _packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Each row's bytes and anchors; a text equal to one that the task has met refers to that instead."""
 
+    if length - gram > 255:
+        raise ValueError("an anchor's distances do not fit a byte")
+
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
@@ -227,14 +243,15 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             digest = hashlib.sha256(data)
             head = (first + i, doc_id, len(data), digest.hexdigest())
             if len(data) < length:
-                yield *head, None, None, None, None, None, None
+                yield *head, None, _packed(data), None, None
             elif (other := seen.get(digest.digest())) is not None:
-                yield *head, other, None, None, None, None, None
+                yield *head, other, None, None, None
             else:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen[digest.digest()] = first + i
-                yield *head, None, data, *(x.tolist() for x in anchors(data, length, gram))
+                hashes, place, least, most = anchors(data, length, gram)
+                yield *head, None, _packed(data), hashes.tolist(), (place << 16 | least << 8 | most).tolist()
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, MARKED, out_rows=500)
 
@@ -244,13 +261,15 @@ def _window_key(core: bytes) -> int:
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """Members of anchors' groups: texts has uid, data and found (hash, place, least, most, n)."""
+    """Members of anchors' groups: texts has uid, data and found (h, spot, n)."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for uid, data, found in each:
+            data = _unpacked(data)
             own: dict[tuple, list[int]] = {}
             for a in found:
-                h, p, least, most, n = a["h"], a["place"], a["least"], a["most"], a["n"]
+                h, spot, n = a["h"], a["spot"], a["n"]
+                p, least, most = spot >> 16, spot >> 8 & 255, spot & 255
                 if n <= BIG:
                     own.setdefault((h, -1, most, data[p - most : p + length - least]), []).append(p)
                     continue
@@ -269,11 +288,11 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
 
 def repeats(marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Repeated stretches (uid, start, end), perhaps overlapping, of the marked texts."""
-    each = marked.where("data IS NOT NULL").select("uid", F.explode(F.arrays_zip("hashes", "places", "least", "most")).alias("a"))
-    each = each.select("uid", F.col("a.hashes").alias("h"), F.col("a.places").alias("place"), F.col("a.least").alias("least"), F.col("a.most").alias("most"))
+    long = marked.where("hashes IS NOT NULL")
+    each = long.select("uid", F.explode(F.arrays_zip("hashes", "spots")).alias("a")).select("uid", F.col("a.hashes").alias("h"), F.col("a.spots").alias("spot"))
     shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    found = each.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "place", "least", "most", "n")).alias("found"))
-    texts = marked.where("data IS NOT NULL").select("uid", "data").join(found, "uid").select("uid", "data", "found")
+    found = each.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "spot", "n")).alias("found"))
+    texts = long.select("uid", "data").join(found, "uid").select("uid", "data", "found")
     dealt = _contexts(texts, length).repartition("key", "part").sortWithinPartitions("key", "part")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
@@ -297,10 +316,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     copies = marked.where("copy_of IS NOT NULL")
     spans = repeats(marked, length, gram).unionByName(copies.select(F.col("copy_of").alias("uid"), F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     listed = materialize(spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    hit = marked.where("data IS NOT NULL").select("uid", "doc_id", "data").join(listed, "uid").select("doc_id", "data", "spans")
+    hit = marked.where("hashes IS NOT NULL").select("uid", "doc_id", "data").join(listed, "uid").select("doc_id", "data", "spans")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, data, found in each:
+            data = _unpacked(data)
             own = merged([(s["start"], s["stop"]) for s in found])
             kept, at = [], 0
             for s, e in own:
@@ -313,7 +333,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     kinds = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
     zero = F.lit(0).cast("long")
     calm = marked.where("copy_of IS NULL").join(listed.select("uid"), "uid", "left_anti")
-    calm = calm.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), *([F.col("data").alias("kept")] if with_text else []))
+    calm = calm.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), *(["data"] if with_text else []))
+    if with_text:
+        calm = map_rows(calm, lambda each: ((*r[:-1], _unpacked(r[-1])) for r in each), kinds)
     gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_text else []))
     return map_rows(hit, rows, kinds).unionByName(calm).unionByName(gone)
 

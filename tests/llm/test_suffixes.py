@@ -53,6 +53,8 @@ def test_removal_matches_brute_force(spark, seed, big, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = suffixes.remove_repeats(docs.selectExpr("doc_id", "text", "1 AS uid", "'x' AS data")).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute(texts, 200)
+    kept = suffixes.remove_repeats(docs, with_text=True).orderBy("doc_id").collect()
+    assert [hashlib.sha256(r["kept"]).hexdigest() for r in kept] == [x[3] for x in brute(texts, 200)]
 
 
 def test_many_contexts_agree_with_pairs():
