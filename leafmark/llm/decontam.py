@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.arrow import map_rows
-from leafmark.llm.tokens import _Cache
 from leafmark.storage import table
 
-#: Bins that words are hashed to.
-BINS = 1 << 17
 #: Latent dimensions, and more columns for the sketch.
 RANK, EXTRA = 128, 16
 POWER = 2
@@ -40,8 +38,7 @@ SHORT = 8
 #: of the comparison unless fewer than SHORT would be left of the item.
 LIGHT = 1.0
 #: Items (with all their passages) of a block; more items are searched block by block.
-ITEM_BLOCK = 20_000
-CACHE_WORDS = 400_000
+ITEM_BLOCK = 4000
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
@@ -49,38 +46,34 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_KEEP).split()
 
 
-def bin_of(word: bytes) -> int:
-    return zlib.crc32(word) & (BINS - 1)
+def vocabulary(items: list[list[bytes]]) -> dict[bytes, int]:
+    """The words of a block of items, numbered from 1."""
+    return {w: i for i, w in enumerate(sorted({w for words in items for w in words}), 1)}
 
 
-_BINS: list = []
+def numbers_of(words: list[bytes], vocab: dict[bytes, int]) -> np.ndarray:
+    """Each word's number, 0 for words that no item has."""
+    return np.fromiter(map(vocab.get, words, repeat(0)), np.int64, len(words))
 
 
-def bins_of(words: list[bytes]) -> np.ndarray:
-    if not _BINS:
-        _BINS.append(_Cache(CACHE_WORDS, bin_of).__getitem__)
-    return np.fromiter(map(_BINS[0], words), np.int64, len(words))
-
-
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of all documents each bin has a word, and the number of documents."""
+def frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each word of the vocabulary stands, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
-        counts, n = np.zeros(BINS, np.int64), 0
+        vocab, n = shared.value, 0
+        known, counts = frozenset(vocab), Counter()
         for (text,) in each:
-            counts[np.unique(bins_of(words_of(text)))] += 1
+            counts.update(known.intersection(words_of(text)))
             n += 1
-        yield -1, n
-        yield from ((int(i), int(counts[i])) for i in np.flatnonzero(counts))
+        yield 0, n
+        yield from ((vocab[w], k) for w, k in counts.items())
 
-    total = map_rows(docs.select("text"), rows, "bin int, n bigint", out_rows=20_000).groupBy("bin").agg(F.sum("n").alias("n"))
-    out, n = np.zeros(BINS), 0
-    for at, k in total.toPandas().itertuples(index=False):  # BINS rows at most
-        if at < 0:
-            n = int(k)
-        else:
-            out[at] = k
-    return out, n
+    total = map_rows(docs.select("text"), rows, "word int, n bigint", out_rows=20_000).groupBy("word").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocab) + 1)
+    for r in total.collect():  # the words of a block of items at most
+        out[r["word"]] = r["n"]
+    return out, int(out[0])
 
 
 def passages(ids: np.ndarray) -> list[np.ndarray]:
@@ -101,39 +94,31 @@ def _sketch(parts: list[np.ndarray], weights: np.ndarray, columns: np.ndarray) -
     return out
 
 
-def fit_basis(spark: SparkSession, items: list[list[bytes]], weights: np.ndarray) -> np.ndarray:
-    """[BINS, RANK] leading right singular vectors of the TF-IDF passages of a block of items.
+def fit_basis(spark: SparkSession, parts: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """[words, RANK] leading right singular vectors of the TF-IDF matrix of a block's passages.
 
     Randomised subspace iteration: each round multiplies a thin matrix by A'A, the
     sum over partitions of their own products, and makes its columns orthonormal.
     """
-    own = [p for words in items if words for p in passages(bins_of(words))]
-    if not own:
-        return np.zeros((BINS, 1), np.float32)
-    used = np.unique(np.concatenate(own))
-    place = np.zeros(BINS, np.int64)
-    place[used] = np.arange(len(used))
-    parts = [place[p].tolist() for p in own]
-    tasks = 4
-    matrix = spark.createDataFrame(pa.table({"ids": pa.array(parts, pa.list_(pa.int64()))})).repartition(tasks)
-    local, width = weights[used], min(RANK + EXTRA, len(used))
-    columns = np.linalg.qr(np.random.default_rng(3).standard_normal((len(used), width)))[0]
-    for _ in range(POWER):
-        now = columns
+    width, tasks = min(RANK + EXTRA, len(weights)), 4
+    matrix = spark.createDataFrame(pa.table({"ids": pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))})).repartition(tasks)
+    columns = np.linalg.qr(np.random.default_rng(3).standard_normal((len(weights), width)))[0]
 
-        def rows(each: Iterator[tuple], now: np.ndarray = now) -> Iterator[tuple]:
+    def product(now: np.ndarray) -> np.ndarray:
+        def rows(each: Iterator[tuple]) -> Iterator[tuple]:
             own = [np.array(ids, np.int64) for (ids,) in each]
             if own:
-                yield (_sketch(own, local, now).astype(np.float32).tobytes(),)
+                yield (_sketch(own, weights, now).astype(np.float32).tobytes(),)
 
-        summed = sum(np.frombuffer(r[0], np.float32).reshape(now.shape).astype(float) for r in map_rows(matrix, rows, "part binary", out_rows=1).toLocalIterator())
-        columns = np.linalg.qr(summed)[0]
+        parts = map_rows(matrix, rows, "part binary", out_rows=1).toLocalIterator()
+        return sum(np.frombuffer(r[0], np.float32).reshape(now.shape).astype(float) for r in parts)
+
+    for _ in range(POWER):
+        columns = np.linalg.qr(product(columns))[0]
     # Rotate to singular directions and keep the leading ones.
-    middle = columns.T @ summed
-    values, turn = np.linalg.eigh((middle + middle.T) / 2)
-    basis = np.zeros((BINS, min(RANK, width)), np.float32)
-    basis[used] = (columns @ turn[:, ::-1])[:, : basis.shape[1]]
-    return basis
+    middle = columns.T @ product(columns)
+    turn = np.linalg.eigh((middle + middle.T) / 2)[1]
+    return (columns @ turn[:, ::-1])[:, :RANK].astype(np.float32)
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -152,47 +137,50 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 class Index:
     """Benchmark items, their latent passages, and what finding them in a text takes."""
 
-    def __init__(self, items: list[tuple[int, str]], weights: np.ndarray, basis: np.ndarray) -> None:
-        self.weights = weights.astype(np.float32)
-        self.items = []
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], vocab: dict[bytes, int], weights: np.ndarray) -> None:
+        self.light = {w for w, i in vocab.items() if weights[i] < LIGHT}
+        self.items, all_bare = [], True
         for i, t in items:
             sentences = [w for s in re.split("[.?!]", t or "") if (w := words_of(s))]
             words, answer = words_of(t), sentences[-1] if sentences else []
             telling = self.telling(words)
-            # The item's place among ids, its words, those compared, those of its answer, and whether common ones are out.
             bare = len(telling) >= SHORT
+            all_bare &= bare
+            # The item, its words, those compared, those of its answer, and whether common ones are out.
             self.items.append((i, words, telling if bare else words, (self.telling(answer) or answer) if bare else answer, bare))
-        has = np.abs(basis).sum(1) > 0
-        self.row = np.where(has, np.cumsum(has), 0).astype(np.int32)
-        self.basis = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), basis[has] * self.weights[has, None]])
-        owners, latent = [], []
-        for k, (_, words, *_) in enumerate(self.items):
-            ids = bins_of(words)
-            for p in passages(ids) if len(ids) else ():
-                owners.append(k)
-                z = self.basis[self.row[p]].sum(0)
-                latent.append(z / (np.linalg.norm(z) + 1e-9))
-        self.owners = np.array(owners, np.int64)
-        self.latent = np.array(latent, np.float32).reshape(len(owners), self.basis.shape[1])
+        # Common words are left out of the latent space too, unless some item has little else.
+        used = np.where(weights < LIGHT, 0.0, weights) if all_bare else weights.copy()
+        used[0] = 0.0
+        own = [(k, p) for k, (_, words, *_) in enumerate(self.items) for p in passages(numbers_of(words, vocab)) if len(p)]
+        basis = fit_basis(spark, [p for _, p in own], used) if own else np.zeros((len(used), 1), np.float32)
+        self.vocab = {w: i for w, i in vocab.items() if used[i] > 0}
+        self.basis = basis * used[:, None].astype(np.float32)
+        latent = [self.basis[p].sum(0) for _, p in own]
+        self.owners = np.array([k for k, _ in own], np.int64)
+        self.latent = np.array([z / (np.linalg.norm(z) + 1e-9) for z in latent], np.float32).reshape(len(own), self.basis.shape[1])
 
     def telling(self, words: list[bytes]) -> list[bytes]:
         """The words that are not too common."""
-        return [w for w, x in zip(words, self.weights[bins_of(words)], strict=True) if x >= LIGHT]
+        return [w for w in words if w not in self.light]
 
     def candidates(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(item's place, first word of the passage, cosine) from COSINE on."""
-        if not words or not len(self.owners):
+        ids = numbers_of(words, self.vocab)
+        hits = np.flatnonzero(ids)
+        if not len(hits) or not len(self.owners):
             return []
-        ids = bins_of(words)
-        cuts = np.arange(0, len(ids), STEP)
-        z = np.add.reduceat(self.basis[self.row[ids]], cuts, 0)
-        if len(cuts) > 1:
-            z = z[:-1] + z[1:]
-        scale = 1 / (np.linalg.norm(z, axis=1) + 1e-9)
+        step = hits // STEP
+        first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+        z = np.zeros((max(2, -(-len(ids) // STEP)), self.basis.shape[1]), np.float32)
+        z[step[first]] = np.add.reduceat(self.basis[ids[hits]], first, 0)
+        z = z[:-1] + z[1:]
+        norm = np.linalg.norm(z, axis=1)
+        there = np.flatnonzero(norm > 1e-6)
+        z = z[there] / norm[there, None]
         out = []
         for at in range(0, len(z), 4096):
-            near = (z[at : at + 4096] @ self.latent.T) * scale[at : at + 4096, None]
-            out += [(int(self.owners[q]), int(cuts[at + p]), float(near[p, q])) for p, q in zip(*np.nonzero(near >= COSINE), strict=True)]
+            near = z[at : at + 4096] @ self.latent.T
+            out += [(int(self.owners[q]), int(there[at + p]) * STEP, float(near[p, q])) for p, q in zip(*np.nonzero(near >= COSINE), strict=True)]
         return out
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
@@ -229,12 +217,12 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     blocks = math.ceil(items.count() / ITEM_BLOCK)
     if not blocks:
         return []
-    found, n = frequencies(docs)
-    weights = np.log((1 + n) / (1 + found)) + 0.1
     out = []
     for b in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        out.append(Index(own, weights, fit_basis(docs.sparkSession, [words_of(t) for _, t in own], weights)))
+        vocab = vocabulary([words_of(t) for _, t in own])
+        found, n = frequencies(docs, vocab)
+        out.append(Index(docs.sparkSession, own, vocab, np.log((1 + n) / (1 + found)) + 0.1))
     return out
 
 
