@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages, each over all that the one before it kept.
 
 Language ID drops documents in no learned language, line dedup cuts repeated runs
-of lines, SimHash keeps one document of each group of near copies, decontamination
+of lines, near dedup keeps one document of each group of near copies, decontamination
 drops documents that hold a benchmark item, and packing fills windows of tokens.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import decontam, langid, linededup, packing, simhash
+from leafmark.llm import decontam, langid, linededup, nearcopies, packing
 from leafmark.storage import materialize, table
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each SimHash group."""
-    return simhash.keep_one(docs)
+    """Keeps the first document of each group linked at a Jaccard similarity of 0.8 (5-word shingles)."""
+    return nearcopies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,15 +195,20 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _first_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The smallest row of each doc_id in first, and the rows with a null doc_id; columns as they were."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return kept.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without those that are not the first of their group; columns as they were.
 
     Of rows of one doc_id the smallest stays. Rows with a null doc_id all stay.
     """
     first = groups(docs.where("doc_id IS NOT NULL"), radius).where("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return kept.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    return _first_rows(docs, first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
