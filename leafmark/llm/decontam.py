@@ -3,7 +3,7 @@
 TF-IDF passages are projected on the leading right singular vectors of a passage
 matrix, found by a randomised SVD whose products are summed over partitions. Each
 passage of every document is held against all benchmark passages by cosine; what
-comes near is checked by the longest common subsequence of words and by whether the
+comes near, or has a run of words in common with an item, is checked by the longest common subsequence of words and by whether the
 item's answer is there too, so that paraphrases count and chance likeness does not.
 """
 
@@ -37,8 +37,11 @@ SHORT = 8
 #: Words of less weight are too common to tell an item by, and are left out of both sides
 #: of the comparison unless fewer than SHORT would be left of the item.
 LIGHT = 1.0
+#: Words in a row that a text and an item have in common for the item to be a candidate; all of a shorter item.
+GRAM = 5
 #: Items (with all their passages) of a block; more items are searched block by block.
-ITEM_BLOCK = 4000
+#: RANK dimensions tell the passages of some 200 items apart, and lose some of more.
+ITEM_BLOCK = 200
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
@@ -134,6 +137,15 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+def grams(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size words."""
+    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    for i in range(size):
+        out = (out ^ ids[i : i + len(out)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Index:
     """Benchmark items, their latent passages, and what finding them in a text takes."""
 
@@ -153,19 +165,52 @@ class Index:
         used[0] = 0.0
         own = [(k, p) for k, (_, words, *_) in enumerate(self.items) for p in passages(numbers_of(words, vocab)) if len(p)]
         basis = fit_basis(spark, [p for _, p in own], used) if own else np.zeros((len(used), 1), np.float32)
-        self.vocab = {w: i for w, i in vocab.items() if used[i] > 0}
+        self.vocab, self.latent_word = vocab, used > 0
         self.basis = basis * used[:, None].astype(np.float32)
         latent = [self.basis[p].sum(0) for _, p in own]
         self.owners = np.array([k for k, _ in own], np.int64)
         self.latent = np.array([z / (np.linalg.norm(z) + 1e-9) for z in latent], np.float32).reshape(len(own), self.basis.shape[1])
 
+        # For each gram size, the hashes of the items' grams in order, and each one's item.
+        self.exact = []
+        told: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, words, *_) in enumerate(self.items):
+            if words:
+                size = min(GRAM, len(words))
+                told.setdefault(size, []).append((np.unique(grams(numbers_of(words, vocab), size)), k))
+        for size, own_grams in sorted(told.items()):
+            hashes, places = np.concatenate([g for g, _ in own_grams]), np.repeat([k for _, k in own_grams], [len(g) for g, _ in own_grams])
+            order = np.argsort(hashes, kind="stable")
+            self.exact.append((size, hashes[order], places[order]))
+
     def telling(self, words: list[bytes]) -> list[bytes]:
         """The words that are not too common."""
         return [w for w in words if w not in self.light]
 
+    def same_runs(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item's place, first word, 0) of the runs of words in common with an item, one for every STEP words."""
+        out = set()
+        known = ids > 0
+        for size, hashes, places in self.exact:
+            if len(ids) < size:
+                continue
+            all_known = np.lib.stride_tricks.sliding_window_view(known, size).all(1)
+            at = np.flatnonzero(all_known)
+            own = grams(ids, size)[at]
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            for i in np.flatnonzero(high > low):
+                out.update((int(k), int(at[i]) // STEP * STEP) for k in places[low[i] : high[i]])
+        return [(k, at, 0.0) for k, at in sorted(out)]
+
     def candidates(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(item's place, first word of the passage, cosine) from COSINE on."""
+        """(item's place, first word of the passage, cosine) from COSINE on, and of runs in common (cosine 0 if not that near)."""
         ids = numbers_of(words, self.vocab)
+        near = self.near_passages(np.where(self.latent_word[ids], ids, 0))
+        there = {(k, at) for k, at, _ in near}
+        return near + [r for r in self.same_runs(ids) if r[:2] not in there]
+
+    def near_passages(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item's place, first word of the passage, cosine) from COSINE on."""
         hits = np.flatnonzero(ids)
         if not len(hits) or not len(self.owners):
             return []
