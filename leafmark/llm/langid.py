@@ -1,6 +1,6 @@
 """Op 6: language of a text by a linear-chain conditional random field over its words.
 
-Each word has affix, n-gram and lexicon features; learned transitions let the label
+A long word, as of a text without spaces, is cut into several. Each word has affix, n-gram and lexicon features; learned transitions let the label
 change inside a text where languages are mixed. Forward-backward gives each word's
 label probabilities, and a text's are their mean over its words with a letter.
 """
@@ -38,9 +38,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()[]{}<>«»…-#*$%&|@/\\=+0123456789").lower()
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; one of more than WIDTH - 2 letters, or a text without spaces, is several of that length."""
+    out = (text or "").split()
+    size = WIDTH - 2
+    if max(map(len, out), default=0) <= size:
+        return out
+    parts: list[str] = []
+    for w in out:
+        # Lower case may be longer than the word.
+        if len(w) <= size or len(bare := _bare(w)) <= size:
+            parts.append(w)
+        else:
+            parts.extend(bare[i : i + size] for i in range(0, len(bare), size))
+    return parts
+
+
 def word_features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """Feature numbers of each word: 1-3 first and 1-4 last letters, its 3-grams, and its place in the lexicon. 0 is no feature."""
-    bare = [w.strip(".,;:!?\"'()[]{}<>«»…-#*$%&|@/\\=+0123456789").lower() for w in words]
+    bare = [_bare(w) for w in words]
     cut = [f"^{w}$" if len(w) <= WIDTH - 2 else f"^{w[: WIDTH // 2 - 1]}{w[-(WIDTH // 2 - 1) :]}$" for w in bare]
     chars = np.array(cut, f"U{WIDTH}").view(np.uint32).reshape(len(cut), WIDTH).astype(np.uint64) if cut else np.zeros((0, WIDTH), np.uint64)
     size = (chars > 0).sum(1)
@@ -91,7 +111,7 @@ def learn(rows: list[tuple[str, str]]) -> Model | None:
     pieces: list[tuple[int, list[str]]] = []
     counts: Counter = Counter()
     for text, y in sorted(rows):
-        words = text.split()
+        words = words_of(text)
         counts.update({w.strip(".,;:!?").lower() for w in words})
         at = 0
         while at < len(words):
@@ -172,7 +192,7 @@ def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]
         for doc_id, text in each:
             ids.append(doc_id)
             sums.append(np.zeros(k + 1))
-            own = (text or "").split()
+            own = words_of(text)
             for at in range(0, len(own), crf.BLOCK_WORDS):
                 part = own[at : at + crf.BLOCK_WORDS]
                 held.append((len(ids) - 1, len(part)))
