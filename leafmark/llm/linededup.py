@@ -1,27 +1,40 @@
 """Op 5: removal of runs of lines that an earlier document, or the same one earlier, already has.
 
-DataFrame operations only. Grams of GRAM lines are hashed and winnowed: of each
-window of WINDOW grams the one with the smallest hash is a fingerprint, so any run
-of GRAM + WINDOW - 1 equal lines shares one. Each fingerprint is joined to its first
-occurrence only, the match is extended both ways line by line, and the later run goes.
+DataFrame operations only. Line hashes are winnowed: of each WINDOW lines in a row the
+one with the smallest hash is a fingerprint, so any run of that many equal lines shares
+one at the same place. A line of LONG words or more is one by itself. Fingerprints that
+stand once are dropped; the positions of the others are extended by a line to each side
+and joined to the first place of the extended run, and the lines of every later one go.
+A longer run is extended from fingerprint to fingerprint.
+
+So a line goes exactly if it lies in a run of two lines or more that also starts earlier,
+or is long and stands earlier.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.storage import materialize, table
 
-GRAM = 2
 WINDOW = 2
+#: Words from which a line alone is a run.
+LONG = 25
 NO_ID = -(1 << 63)
 _BLANK = r"^[ \t\n\x0B\f\r]*$"
+_LONG = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (LONG - 1)
+
 
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
 
-def line_hash(x: Column) -> Column:
-    """The first 60 bits of md5, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -31,113 +44,108 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(d, t, at, h): places and hashes of the lines that are not blank."""
+    """(d, t, at, h, w): places and hashes of the lines that are not blank, and whether they are long."""
     numbered = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    told = F.transform(F.filter(numbered, lambda r: ~r["x"].rlike(_BLANK)), lambda r: F.struct(r["i"].alias("i"), line_hash(r["x"]).alias("h")))
-    return _keyed(docs.select("doc_id", "text")).select("d", "t", told.alias("r")).select("d", "t", F.col("r.i").alias("at"), F.col("r.h").alias("h"))
+    told = F.transform(F.filter(numbered, lambda r: ~r["x"].rlike(_BLANK)), lambda r: F.struct(r["i"].alias("i"), F.xxhash64(r["x"]).alias("h"), r["x"].rlike(_LONG).alias("w")))
+    return _keyed(docs.select("doc_id", "text")).select("d", "t", told.alias("r")).select("d", "t", F.col("r.i").alias("at"), F.col("r.h").alias("h"), F.col("r.w").alias("w"))
+
+
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(d, t, g, o, alone, at, h): each fingerprint, and the places and hashes of the lines around it, itself the o-th.
+
+    The smallest hash of each window, the last of equals, and, alone, the lines that are long.
+    """
+    back = F.transform("h", lambda h, i: F.struct(h.alias("g"), (-i).alias("back")))
+    least = _let(back, lambda hs: F.when(F.size(hs) >= WINDOW, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hs) - (WINDOW - 1)), lambda i: -F.array_min(F.slice(hs, i, WINDOW))["back"]))).otherwise(F.array().cast("array<int>")))
 
+    def mark(p: Column, alone: bool) -> Column:
+        low = F.lit(0) + p if alone else F.greatest(p - (WINDOW - 1), F.lit(0))
+        width = 1 if alone else 2 * WINDOW - 1
+        return F.struct(F.get("h", p).alias("g"), (p - low).alias("o"), F.lit(alone).alias("alone"), F.slice("at", low + 1, width).alias("at"), F.slice("h", low + 1, width).alias("h"))
 
-def fingerprints(found: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(d, t, pos, g): the grams that are the smallest of a window, the last of equals."""
-    n = F.size("h") - (gram - 1)
-    told = lambda i: line_hash(F.array_join(F.slice("h", i + 1, gram).cast("array<string>"), ","))
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(told(i).alias("g"), (-i).alias("back"))))
-    with_grams = found.select("d", "t", grams.alias("grams")).where("grams IS NOT NULL")
-    size = F.size("grams")
-    starts = F.sequence(F.lit(1), F.greatest(size - (window - 1), F.lit(1)))
-    least = F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice("grams", i, window))))
-    return with_grams.select("d", "t", F.explode(least).alias("m")).select("d", "t", (-F.col("m.back")).alias("pos"), F.col("m.g").alias("g"))
+    long = F.filter(F.transform("w", lambda w, i: F.when(w, i)), lambda p: p.isNotNull())
+    marks = F.concat(F.transform(least, lambda p: mark(p, False)), F.transform(long, lambda p: mark(p, True)))
+    return found.select("d", "t", F.explode(marks).alias("m")).select("d", "t", "m.*")
 
 
-def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def _extended() -> Column:
+    """The runs (key, spots) that a fingerprint is part of: a window of lines around it, or itself if it is alone."""
+    size = F.when(F.col("alone"), 1).otherwise(WINDOW)
+
+    def run(start: Column) -> Column:
+        return F.struct(F.xxhash64(size, F.slice("h", start + 1, size)).alias("key"), F.slice("at", start + 1, size).alias("spots"))
+
+    starts = F.sequence(F.greatest(F.col("o") - size + 1, F.lit(0)), F.least(F.col("o"), F.size("h") - size))
+    return F.transform(starts, run)
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(d, t, gone): places of the lines to delete, for documents that have any."""
-    found = materialize(lines(docs), "lines").dropDuplicates(["d", "t"])
-    found = materialize(found, "lines")
-    marks = materialize(fingerprints(found, gram, window), "fingerprints")
-    first = marks.groupBy("g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
-    later = marks.join(first, "g").where(F.struct("d", "t", "pos") > F.col("first"))
-    by_shift = later.groupBy("d", "t", F.col("first.d").alias("d0"), F.col("first.t").alias("t0"), (F.col("pos") - F.col("first.pos")).alias("shift")).agg(F.collect_set("pos").alias("spots"))
-    other = found.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("h").alias("h0"))
-    both = by_shift.join(found, ["d", "t"]).join(other, ["d0", "t0"])
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("h"), F.size("h0") + F.col("shift")) - 1
-    unlike = F.filter(F.sequence(low, high), lambda i: F.get(F.col("h"), i) != F.get(F.col("h0"), i - F.col("shift")))
-    both = both.select("d", "t", "at", "spots", low.alias("low"), high.alias("high"), unlike.alias("unlike"))
-    begin = lambda p: F.coalesce(F.array_max(F.filter("unlike", lambda j: j < p)), F.col("low") - 1) + 1
-    end = lambda p: F.coalesce(F.array_min(F.filter("unlike", lambda j: j > p)), F.col("high") + 1) - 1
-    runs = F.array_distinct(F.transform("spots", lambda p: F.struct(begin(p).alias("s"), end(p).alias("e"))))
-    places = F.flatten(F.transform(runs, lambda r: F.slice("at", r["s"] + 1, r["e"] - r["s"] + 1)))
-    return both.select("d", "t", places.alias("p")).groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("gone"))
+    marks = materialize(fingerprints(materialize(lines(docs), "lines")), "fingerprints")
+    several = marks.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    runs = marks.join(several, "g", "left_semi").select("d", "t", F.explode(_extended()).alias("r")).select("d", "t", "r.key", "r.spots")
+    runs = materialize(runs, "runs")
+    place = F.struct("d", "t", F.get("spots", F.lit(0)).alias("at"))
+    first = runs.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    later = runs.join(first, "key").where(place > F.col("first"))
+    return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("gone"))
 
 
 def _rest() -> Column:
     """The text without the lines in gone."""
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    kept = _let(F.split("text", "\n", -1), lambda xs: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col("gone")), lambda i: F.get(xs, i)), "\n"))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
 
 
-def dedupe(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedupe(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text) as doc_id, n_lines, n_removed, text.
 
     Documents are ordered by doc_id (null first), rows of one doc_id by a hash of
     their texts; rows equal in both are one document and come out alike. A line is
-    deleted if it lies in the longest match, line by line, of a fingerprint with its
-    first occurrence, judged on the input. Blank lines neither match nor go. A null
-    text has no line and stays null. Other columns are ignored.
+    deleted if it lies in a run of two lines or more that starts earlier too, in this
+    document or one before, or has LONG words and stands earlier; all is judged on the
+    input. Blank lines neither match nor go. A null text has no line and stays
+    null. An empty table gives no row. Other columns are ignored.
     """
-    gone = repeated_lines(docs, gram, window)
+    gone = repeated_lines(docs)
     left = _keyed(docs.select("doc_id", "text")).join(gone, ["d", "t"], "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     return left.select("doc_id", n_lines.alias("n_lines"), removed.alias("n_removed"), _rest().alias("text"))
 
 
-def stage(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def stage(docs: DataFrame) -> DataFrame:
     """docs with the same columns, without repeated lines; a document that they leave without a word goes.
 
     n_chars, where there is one, follows the text.
     """
-    gone = repeated_lines(docs, gram, window)
-    rows = _keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    gone = repeated_lines(docs)
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*(_named(c).alias(c) for c in docs.columns)).alias("row")))
     left = rows.join(gone, ["d", "t"], "left").withColumn("kept", _rest())
     left = left.where(F.col("gone").isNull() | ~F.col("kept").rlike(_BLANK))
     kinds = dict(docs.dtypes)
     own = {"text": F.col("kept"), "n_chars": F.when(F.col("gone").isNull(), F.col("row")["n_chars"] if "n_chars" in kinds else None).otherwise(F.length("kept"))}
-    return left.select(*(own[c].cast(kinds[c]).alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns))
+    return left.select(*(own[c].cast(kinds[c]).alias(c) if c in own else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
-#: The same rows in DuckDB's SQL, for tables whose doc_id is unique.
+#: The same rows in DuckDB's SQL, straight from the definition, for tables whose doc_id is unique.
 SQL = r"""
 WITH raw AS (
   SELECT doc_id AS d, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i
   FROM documents),
 told AS (
-  SELECT d, i, row_number() OVER (PARTITION BY d ORDER BY i) - 1 AS pos, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h
-  FROM raw WHERE NOT regexp_full_match(x, '[ 	
-
-]*')),
-paired AS (
-  SELECT d, pos, h, lead(h) OVER (PARTITION BY d ORDER BY pos) AS h2 FROM told),
-grams AS (
-  SELECT d, pos, ('0x' || substr(md5(h || ',' || h2), 1, 15))::BIGINT AS g FROM paired WHERE h2 IS NOT NULL),
-windows AS (
-  SELECT d, pos, g, lead(g) OVER (PARTITION BY d ORDER BY pos) AS g2, count(*) OVER (PARTITION BY d) AS n FROM grams),
-marks AS (
-  SELECT DISTINCT d, CASE WHEN g2 <= g THEN pos + 1 ELSE pos END AS pos, least(g, g2) AS g
-  FROM windows WHERE g2 IS NOT NULL OR n = 1),
-firsts AS (
-  SELECT g, min({'d': d, 'pos': pos}) AS f FROM marks GROUP BY g HAVING count(*) > 1),
-later AS (
-  SELECT m.d, m.pos, f.d AS d0, m.pos - f.pos AS shift FROM marks m JOIN firsts USING (g) WHERE {'d': m.d, 'pos': m.pos} > f),
-pairs AS (SELECT DISTINCT d, d0, shift FROM later),
-same AS (
-  SELECT p.d, p.d0, p.shift, a.pos, a.i, a.pos - row_number() OVER (PARTITION BY p.d, p.d0, p.shift ORDER BY a.pos) AS run
-  FROM pairs p JOIN told a ON a.d = p.d JOIN told b ON b.d = p.d0 AND b.pos = a.pos - p.shift AND b.h = a.h),
+  SELECT d, i, row_number() OVER (PARTITION BY d ORDER BY i) AS pos, md5(x) AS h,
+         regexp_matches(x, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){24}[^\x20\x09-\x0D]') AS long
+  FROM raw WHERE NOT regexp_full_match(x, '[\x20\x09-\x0D]*')),
 runs AS (
-  SELECT DISTINCT s.d, s.d0, s.shift, s.run FROM same s JOIN later l USING (d, d0, shift, pos)),
+  SELECT d, pos, 1 AS n, h AS k FROM told WHERE long
+  UNION ALL SELECT d, pos, 2, h || h2
+  FROM (SELECT d, pos, h, lead(h) OVER (PARTITION BY d ORDER BY pos) AS h2 FROM told) WHERE h2 IS NOT NULL),
+later AS (
+  SELECT d, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, pos) AS place FROM runs) WHERE place > 1),
 gone AS (
-  SELECT DISTINCT s.d, s.i FROM same s JOIN runs USING (d, d0, shift, run))
+  SELECT DISTINCT a.d, a.i FROM told a JOIN (SELECT d, pos + unnest(range(n)) AS pos FROM later) b ON a.d = b.d AND a.pos = b.pos)
 SELECT c.doc_id, CASE WHEN c.text IS NULL THEN 0 ELSE r.n_lines END AS n_lines, r.n_removed,
        CASE WHEN r.n_removed = 0 THEN c.text ELSE r.kept END AS text
 FROM documents c JOIN (

@@ -1,7 +1,7 @@
 """Line dedup against a plain reading of its rule."""
 
-import hashlib
 import random
+import time
 
 import duckdb
 import pytest
@@ -9,34 +9,19 @@ import pytest
 from leafmark.llm import linededup
 
 
-def h(x):
-    return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
-
-
 def brute(texts):
-    """Kept text of each document, in order, by pairwise matching."""
-    told = [[(i, h(x)) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")] for t in texts]
-    marks, firsts = [], {}
-    for d, own in enumerate(told):
-        grams = [h(f"{a[1]},{b[1]}") for a, b in zip(own, own[1:], strict=False)]
-        picked = set()
-        for i in range(max(1, len(grams) - 1)) if grams else ():
-            picked.add(min(range(i, min(i + 2, len(grams))), key=lambda j: (grams[j], -j)))
-        marks.append([(p, grams[p]) for p in sorted(picked)])
-        for p, g in marks[-1]:
-            firsts.setdefault(g, (d, p))
-    out = []
-    for d, t in enumerate(texts):
+    """Kept text of each document, from the definition alone: runs that start earlier too."""
+    told = [[(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")] for t in texts]
+    earlier, out = set(), []
+    for own, t in zip(told, texts, strict=True):
         gone = set()
-        for p, g in marks[d]:
-            d0, p0 = firsts[g]
-            if (d0, p0) != (d, p):
-                a, b = p, p0
-                while a > 0 and b > 0 and told[d][a - 1][1] == told[d0][b - 1][1]:
-                    a, b = a - 1, b - 1
-                while a < len(told[d]) and b < len(told[d0]) and told[d][a][1] == told[d0][b][1]:
-                    gone.add(told[d][a][0])
-                    a, b = a + 1, b + 1
+        for p in range(len(own)):
+            for q in range(p + 1, len(own) + 1):
+                run = tuple(x for _, x in own[p:q])
+                if q - p >= 2 or len(run[0].split()) >= linededup.LONG:
+                    if run in earlier:
+                        gone |= {i for i, _ in own[p:q]}
+                    earlier.add(run)
         out.append(t if not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
     return out
 
@@ -44,6 +29,7 @@ def brute(texts):
 def corpus(seed):
     r = random.Random(seed)
     pool = [f"line number {i} of the pool" for i in range(25)] + ["", "  "]
+    pool += [" ".join(f"w{i}{k}" for k in range(n)) for i in range(4) for n in (24, 25, 40)]
     runs = [[r.choice(pool) for _ in range(r.randrange(2, 7))] for _ in range(8)]
     texts = [None, "", "\n\n", "a\n" * 9, "one line"]
     for _ in range(60):
@@ -71,3 +57,36 @@ def test_stage_keeps_columns_and_repeated_rows(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([tuple(r) for r in docs.collect() if r["doc_id"] not in (2, 3)] + [(3, "k", "en", 1)], key=str)
     assert linededup.stage(docs.limit(0)).collect() == []
+
+
+def test_the_longer_run_elsewhere_counts(spark):
+    """The first place of a fingerprint has two of the lines only; a later one has all three."""
+    for names in ("abcxy", "pqrst", "klmno", "efghi"):
+        a, b, c, x, y = names
+        texts = ["\n".join(t) for t in ([x, a, b, y], [a, b, c], [a, b, c])]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert [r["text"] for r in linededup.dedupe(docs).orderBy("doc_id").collect()] == [texts[0], c, ""]
+
+
+def test_long_lines_and_single_line_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, long), (2, f"own\n{long}\nother"), (3, f"own\n{long}"), (4, "short line"), (5, "short line"), (6, long + " ")], "doc_id long, text string")
+    assert [r["text"] for r in linededup.dedupe(docs).orderBy("doc_id").collect()] == [long, "own\nother", "", "short line", "short line", long + " "]
+
+
+def test_columns_of_any_kind_and_name(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'a\nb\nc', map('k', 1), 5), (2L, 'a\nb\nc', map('k', 2), 6), (3L, 'z', null, 7) AS t(doc_id, text, m, `x.y`)")
+    got = linededup.stage(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["x.y"]) for r in got.collect()) == [(1, 5), (3, 7)]
+
+
+def test_one_long_text_is_linear(spark):
+    took = []
+    for n in (4_000, 32_000):
+        text = "\n".join(f"line {i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        began = time.time()
+        assert sorted(r["n_removed"] for r in linededup.dedupe(docs).collect()) == [0, n]
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 5
