@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public tokenizer file, at a bounded memory cost.
 
 The library's result for a text is the concatenation of its results for the
-pieces between ASCII white space: the tokenizer's pattern never matches across
+pieces that the tokenizer's own pattern cuts out: the pattern never matches across
 white space, its normaliser maps each run of it to one space, and no character
 composes with a space. So each word is encoded once and kept in a bounded cache,
 and a text becomes a join of cached byte strings.
@@ -21,10 +21,13 @@ import numpy as np
 from leafmark.llm.caches import held
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept per worker; the older half goes when the cache is full.
-CACHE_WORDS = 800_000
-#: Pieces within words (letter runs and the like) kept per worker.
-CACHE_PIECES = 600_000
+#: Characters of words (and of pieces of words) of Latin-1, and of words of other characters, that a
+#: worker keeps the ids of; the older half goes when there are more.
+CACHE_PLAIN, CACHE_OTHER = 11_000_000, 1_000_000
+#: Characters that an entry counts as, beside its own.
+ENTRY = 4
+#: Characters of a text that are looked up at a time, and the rest of the last word.
+STRETCH = 1 << 16
 #: Letters and numbers of Latin-1 (fixed values), for the tokenizer's pattern on words of Latin-1.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 
@@ -36,17 +39,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Cache(dict):
-    """A dict that computes what it lacks, and forgets its oldest half when it holds ``most`` entries."""
+    """A dict that computes what it lacks, and forgets its oldest half when its keys add up to more than ``most``."""
 
     def __init__(self, most: int, compute: Callable) -> None:
         super().__init__()
-        self.most, self.compute = most, compute
+        self.most, self.compute, self.size = most, compute, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            for k in list(itertools.islice(self, self.most // 2)):
-                del self[k]
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        cost = len(key) + ENTRY
+        if cost <= self.most // 2:
+            self.size += cost
+            if self.size > self.most:
+                for k in list(itertools.islice(self, len(self) // 2)):
+                    del self[k]
+                    self.size -= len(k) + ENTRY
+            self[key] = value
         return value
 
 
@@ -85,22 +93,48 @@ class WordEncoder:
                 pattern = pattern.replace(name, own)
             self.cut = re.compile(pattern).findall
         self.letters = _byte_letters()
-        self.plain = re.compile(r"[!-;=-~¡-ÿ]+").fullmatch  # Latin-1 without "<", which begins special tokens
-        self.piece = _Cache(CACHE_PIECES, self._piece_ids).__getitem__
-        self.word = _Cache(CACHE_WORDS, self._word_ids).__getitem__
-
-    def _piece_ids(self, piece: str) -> bytes:
-        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        # Latin-1 without "<", which begins special tokens, and what is not printable.
+        self.odd = re.compile(r"[^ !-;=-~¡-ÿ]").search
+        self.plain = _Cache(CACHE_PLAIN, self._plain_ids).__getitem__
+        self.other = _Cache(CACHE_OTHER, self._other_ids).__getitem__
+
+    def _plain_ids(self, word: str) -> bytes:
+        """The ids of a word or piece in small letters."""
+        if not word.isalpha():
+            pieces = self.cut(word)
+            if pieces != [word]:
+                return b"".join(map(self.plain, pieces))
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("H", [t.id for t in self.tokenize(written)]).tobytes()
 
-    def _word_ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.cut is not None and self.plain(text):
-            return b"".join(map(self.piece, self.cut(text.lower())))
-        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+    def _other_ids(self, word: str) -> bytes:
+        return array("H", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.word, (text or "").encode().split()))
+        text = text or ""
+        for space in "\t\n\v\f\r":
+            text = text.replace(space, " ")
+        if self.cut is None:
+            return b"".join(map(self.other, filter(None, text.split(" "))))
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + STRETCH)
+            stretch = text[at:end] if end >= 0 else text[at:]
+            at = end + 1 if end >= 0 else len(text)
+            out.append(self._stretch(stretch))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _stretch(self, text: str) -> bytes:
+        """The ids of whole words with blanks between them."""
+        out, at = [], 0
+        while odd := self.odd(text, at):
+            start, end = text.rfind(" ", at, odd.start()) + 1 or at, text.find(" ", odd.start())
+            end = len(text) if end < 0 else end
+            out += map(self.plain, text[at:start].lower().split())
+            out.append(self.other(text[start:end]))
+            at = end
+        out += map(self.plain, text[at:].lower().split())
+        return b"".join(out)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ SHARDS_EACH = 2
 END_ID = 1
 
 
+def _mask(n: int, bits: np.ndarray) -> pa.BooleanArray:
+    return pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(bits)])
+
+
 class WaveletMatrix:
     """A sequence of unsigned integers as succinct bit planes."""
 
@@ -45,11 +50,12 @@ class WaveletMatrix:
         now = np.ascontiguousarray(ids, "<u2" if depth <= 16 else "<u4")
         planes, zeros = np.zeros((depth, (n + 7) // 8), np.uint8), np.zeros(depth, np.int64)
         for k in range(depth):
-            bit = (now >> (depth - 1 - k)) & 1 == 1
-            planes[k] = np.packbits(bit, bitorder="little")
-            low = now[~bit]
+            planes[k] = np.packbits((now & now.dtype.type(1 << (depth - 1 - k))).astype(bool), bitorder="little")
+            # Arrow filters by bitmaps as they are, several times faster than indexing by booleans.
+            values = pa.array(now)
+            low, high = (values.filter(_mask(n, bits)).to_numpy() for bits in (~planes[k], planes[k]))
             zeros[k] = len(low)
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, high])
         return cls(n, planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -150,8 +156,8 @@ class WaveletMatrix:
         for k in reversed(range(depth)):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(now)
-            back[~bit] = now[: self.zeros[k]]
-            back[bit] = now[self.zeros[k] :] | now.dtype.type(1 << (depth - 1 - k))
+            back[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            back[np.flatnonzero(bit)] = now[self.zeros[k] :] | now.dtype.type(1 << (depth - 1 - k))
             now = back
         return now
 
