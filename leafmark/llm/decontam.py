@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.arrow import map_rows
-from leafmark.storage import table
+from leafmark.storage import materialize, table
 
 #: Latent dimensions, and more columns for the sketch.
 RANK, EXTRA = 128, 16
@@ -42,6 +42,7 @@ GRAM = 5
 #: Items (with all their passages) of a block; more items are searched block by block.
 #: RANK dimensions tell the passages of some 200 items apart, and lose some of more.
 ITEM_BLOCK = 200
+BLOCK_CHARS = 2_000_000
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
@@ -256,19 +257,48 @@ class Index:
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """An index for each block of items; document frequencies are of all docs."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ITEM_BLOCK items and BLOCK_CHARS characters at most, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    blocks = math.ceil(items.count() / ITEM_BLOCK)
-    if not blocks:
-        return []
-    out = []
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(math.ceil(n / ITEM_BLOCK), math.ceil(chars / BLOCK_CHARS))
     for b in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
+        if own:
+            yield own
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
+    """An index for each block of items, one at a time; document frequencies are of all docs."""
+    for own in _blocks(benchmark):
         vocab = vocabulary([words_of(t) for _, t in own])
         found, n = frequencies(docs, vocab)
-        out.append(Index(docs.sparkSession, own, vocab, np.log((1 + n) / (1 + found)) + 0.1))
-    return out
+        yield Index(docs.sparkSession, own, vocab, np.log((1 + n) / (1 + found)) + 0.1)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """Items found in each row of docs (key, text): a written table of key and LEAK.
+
+    A block of items is indexed, sent out, searched for in all documents and let go before the
+    next, so neither the driver nor a worker holds more than one.
+    """
+    spark, out = docs.sparkSession, None
+    for built in indexes(docs, benchmark):
+        shared = spark.sparkContext.broadcast(built)
+
+        def rows(each: Iterator[tuple], shared=shared) -> Iterator[tuple]:
+            index = shared.value
+            for k, text in each:
+                for leak in index.leaks(text):
+                    yield k, *leak
+
+        part = materialize(map_rows(docs.select(key, "text"), rows, f"{key} bigint, {LEAK}"), "leaks")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], f"{key} bigint, {LEAK}") if out is None else out
+
+
+LEAK = "item_id bigint, cosine double, share double, answer_share double, first_word bigint"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -278,37 +308,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     holds nothing; a null item is not searched. Equal rows get equal results, and
     each repeated item its own. Other columns of both tables are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, out = docs.sparkSession, None
-    schema = "doc_id bigint, item_id bigint, cosine double, share double, answer_share double, first_word bigint"
-    for index in indexes(docs, benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def rows(each: Iterator[tuple], shared=shared) -> Iterator[tuple]:
-            for doc_id, text in each:
-                for leak in shared.value.leaks(text):
-                    yield doc_id, *leak
-
-        found = map_rows(docs, rows, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "doc_id")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which an item is found; columns as they were."""
-    spark = docs.sparkSession
-    for index in indexes(docs, benchmark):
-        shared = spark.sparkContext.broadcast(index)
-        at = docs.columns.index("text")
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 512):
-                    part = batch.slice(i, 512)
-                    yield part.filter(pa.array([not shared.value.leaks(t) for t in part.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    """docs without the rows in which an item is found; columns as they were.
+
+    What is found hangs on the text alone, so rows go by a hash of it. Spark broadcasts
+    the hashes if they are few, by their size as written.
+    """
+    mark = F.xxhash64("text")
+    found = _leaks(docs.select(mark.alias("mark"), "text"), benchmark, "mark").select("mark").distinct()
+    found = materialize(found, "leaky")
+    return docs.join(found, mark == found["mark"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

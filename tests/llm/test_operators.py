@@ -317,7 +317,7 @@ def test_latent_search_recall_against_brute_force(spark):
     items = [(i, " ".join(word() for _ in range(40))) for i in range(150)]
     texts_ = [" ".join([word() for _ in range(60)] + [w for w in t.split() if r.random() < 0.85] + [word() for _ in range(60)]) for _, t in items]
     docs = frame(spark, texts_)
-    index = decontam.indexes(docs, spark.createDataFrame(items, "item_id long, text string"))[0]
+    index = next(decontam.indexes(docs, spark.createDataFrame(items, "item_id long, text string")))
     found = sum(any(k == i for k, _, _ in index.candidates(decontam.words_of(t))) for i, t in enumerate(texts_))
     assert found >= 0.9 * len(items)
 
