@@ -1,9 +1,11 @@
-"""Linear-chain conditional random fields over word chains, many chains at a time.
+"""Linear-chain conditional random fields over the words of texts, many texts at a time.
 
 Scores of a word depend on the word alone (and, shifted, on its neighbours), so a
-worker keeps them by word. Forward-backward and Viterbi step through all chains of
-a block together; chains are cut at CHAIN words, so a block takes CHAIN steps
-whatever the length of its texts.
+worker keeps them by word. A text is one chain, whatever its length. Forward-backward
+cuts a long chain into segments that are stepped through together with all others:
+first the product of each segment's transfer matrices, then the vectors that enter it
+from both sides, carried from segment to segment, then its own words. That is the same
+sum over paths in another order of multiplication, so nothing changes at a border.
 """
 
 from __future__ import annotations
@@ -12,92 +14,148 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words of a chain at most; a longer text is several chains.
-CHAIN = 128
-#: Words of a block at most, but for the rest of a chain.
+#: Words of a segment. Only speed hangs on it.
+SEGMENT = 192
+#: Labels up to which products of transfer matrices are worth it; with more, a chain is one segment.
+FEW_LABELS = 12
+#: Words of a block of texts, from which on it is worked off.
 BLOCK_WORDS = 150_000
-#: Word types a worker keeps scores of.
-CACHE_TYPES = 300_000
+#: Word types a worker keeps scores of, and types scored at a time.
+CACHE_TYPES, TYPES_AT_ONCE = 300_000, 8192
 
 
-def chain_lengths(n: int, chain: int = CHAIN) -> np.ndarray:
-    """Lengths of the chains of a text of n words."""
-    full, rest = divmod(n, chain)
-    return np.array([chain] * full + [rest] * (rest > 0), np.int64)
+class _Steps:
+    """Words of chains laid out step by step: all first words, then all second ones, longest chains first."""
 
+    def __init__(self, sizes: np.ndarray, starts: np.ndarray) -> None:
+        """sizes must not rise; starts: each chain's first row."""
+        self.n = int(sizes[0])
+        self.alive = np.searchsorted(-sizes, -np.arange(self.n), side="left").tolist()  # chains longer than t
+        self.first = np.concatenate([[0], np.cumsum(self.alive)])
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.rows = np.repeat(starts, sizes) + within
+        self.flat = self.first[within] + np.repeat(np.arange(len(sizes)), sizes)
 
-def _padded(scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores as [steps, chains, labels], and each word's row there."""
-    k, steps = scores.shape[1], int(lengths.max())
-    starts = np.cumsum(lengths) - lengths
-    chain = np.repeat(np.arange(len(lengths)), lengths)
-    step = np.arange(len(scores)) - np.repeat(starts, lengths)
-    flat = step * len(lengths) + chain
-    out = np.zeros((steps * len(lengths), k), scores.dtype)
-    out[flat] = scores
-    return out.reshape(steps, len(lengths), k), flat
+    def laid(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[self.flat] = x[self.rows]
+        return out
+
+    def back(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[self.rows] = x[self.flat]
+        return out
+
+    def at(self, t: int, n: int | None = None) -> slice:
+        """The places of the words of step t, of the first n chains."""
+        first = int(self.first[t])
+        return slice(first, first + (self.alive[t] if n is None else n))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (x.sum(-1, keepdims=True) + 1e-30)
+
+
+def _following(chain: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The segment after each one in its chain, -1 after the last."""
+    order = np.lexsort((nth, chain))
+    out = np.full(len(chain), -1)
+    same = chain[order[1:]] == chain[order[:-1]]
+    out[order[:-1][same]] = order[1:][same]
+    return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of each word, expected counts of label pairs, and the sum of log Z.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, with_pairs: bool = True, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """Marginals of each word, expected counts of label pairs if asked for, and the sum of log Z.
 
     scores: [words, labels] of all chains end to end. trans: [labels, labels].
     """
     k = len(trans)
     if not len(scores):
-        return np.zeros((0, k)), np.zeros((k, k)), 0.0
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
-    starts = np.cumsum(lengths) - lengths
-    places = np.repeat(starts[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(scores))
-    padded, flat = _padded(scores[places], sizes)
-    steps, chains, _ = padded.shape
-    alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]  # chains longer than t
-    top = padded.max(2, keepdims=True)
-    emit, move = np.exp(padded - top), np.exp(trans - trans.max())
-    alpha, scale = np.zeros_like(emit), np.ones((steps, chains), emit.dtype)
-    now = emit[0] / k
-    for t in range(steps):
-        if t:
-            now = (alpha[t - 1, : alive[t]] @ move) * emit[t, : alive[t]]
-        s = now.sum(1)
-        scale[t, : len(now)], alpha[t, : len(now)] = s, now / s[:, None]
-    beta, pairs = np.ones_like(emit), np.zeros((k, k))
-    for t in range(steps - 2, -1, -1):
-        n = alive[t + 1]
-        if n:
-            ahead = emit[t + 1, :n] * beta[t + 1, :n] / scale[t + 1, :n, None]
-            beta[t, :n] = ahead @ move.T
-            pairs += (alpha[t, :n].T @ ahead) * move
-    marginal = alpha * beta
-    marginal /= marginal.sum(2, keepdims=True) + 1e-30
-    out = np.empty_like(scores)
-    out[places] = marginal.reshape(-1, k)[flat]
-    log_z = float(np.log(scale).sum() + top.reshape(-1)[flat].sum()) + trans.max() * float((sizes - 1).sum()) + np.log(k) * len(sizes)
-    return out, pairs, log_z
+        return np.zeros((0, k)), np.zeros((k, k)) if with_pairs else None, 0.0
+    lengths = lengths[lengths > 0]
+    if k > FEW_LABELS:
+        segment = int(lengths.max())
+    counts = -(-lengths // segment)
+    chain = np.repeat(np.arange(len(lengths)), counts)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(counts) - counts, counts)
+    sizes = np.minimum(segment, lengths[chain] - nth * segment)
+    order = np.argsort(-sizes, kind="stable")
+    starts = (np.repeat(np.cumsum(lengths) - lengths, counts) + nth * segment)[order]
+    chain, nth, sizes = chain[order], nth[order], sizes[order]
+    steps = _Steps(sizes, starts)
+    top = scores.max(1, keepdims=True)
+    emit, move = steps.laid(np.exp(scores - top)), np.exp(trans - trans.max()).astype(scores.dtype)
+    n, last = len(sizes), steps.first[sizes - 1] + np.arange(len(sizes))
+    ahead, behind = np.full((n, k), 1.0 / k, scores.dtype), np.ones((n, k), scores.dtype)
+    following = _following(chain, nth) if len(counts) < n else np.full(n, -1)
+    several = np.flatnonzero(counts[chain] > 1)
+    if len(several):
+        products = np.empty((n, k, k), scores.dtype)
+        products[several] = emit[several][:, :, None] * np.eye(k, dtype=scores.dtype)
+        for t in range(1, steps.n):
+            on = several[: np.searchsorted(several, steps.alive[t])]
+            if not len(on):
+                break
+            now = (products[on].reshape(-1, k) @ move).reshape(-1, k, k) * emit[steps.first[t] + on][:, None, :]
+            products[on] = now / now.sum((1, 2), keepdims=True)
+        levels = [np.flatnonzero((nth == i) & (following >= 0)) for i in range(int(nth.max()))]
+        for own in levels:
+            ahead[following[own]] = _unit(np.einsum("si,sij->sj", ahead[own], products[own])) @ move
+        for own in reversed(levels):
+            after = following[own]
+            behind[own] = _unit(_unit(np.einsum("sij,sj->si", products[after], behind[after])) @ move.T)
+    alpha, beta, log_z = np.empty_like(emit), np.empty_like(emit), 0.0
+    for t in range(steps.n):
+        here = steps.at(t)
+        now = (alpha[steps.at(t - 1, steps.alive[t])] @ move if t else ahead) * emit[here]
+        s = now.sum(1, keepdims=True)
+        log_z += float(np.log(s).sum(dtype=np.float64))
+        alpha[here] = now / s
+    beta[last] = behind
+    pairs = np.zeros((k, k)) if with_pairs else None
+    for t in range(steps.n - 2, -1, -1):
+        onward = emit[steps.at(t + 1)] * beta[steps.at(t + 1)]
+        here = steps.at(t, steps.alive[t + 1])
+        beta[here] = _unit(onward @ move.T)
+        if with_pairs:
+            pairs += _pairs(alpha[here], onward, move)
+    if with_pairs and len(several):
+        on = np.flatnonzero(following >= 0)
+        pairs += _pairs(alpha[last[on]], emit[following[on]] * beta[following[on]], move)
+    log_z += float(top.sum(dtype=np.float64)) + float(trans.max()) * float((lengths - 1).sum()) + np.log(k) * len(lengths)
+    return steps.back(_unit(alpha * beta)), pairs, log_z
+
+
+def _pairs(alpha: np.ndarray, onward: np.ndarray, move: np.ndarray) -> np.ndarray:
+    total = np.einsum("si,ij,sj->s", alpha, move, onward, optimize=True)
+    return (alpha.T @ (onward / (total[:, None] + 1e-30))) * move
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best label of each word."""
+    """The best label of each word, one chain for each of lengths."""
     if not len(scores):
         return np.zeros(0, np.int64)
-    padded, flat = _padded(scores, lengths)
-    steps, chains, k = padded.shape
-    best, back = padded[0], np.zeros((steps, chains, k), np.int8)
-    final = np.array(best)
-    for t in range(1, steps):
-        tries = best[:, :, None] + trans
-        back[t] = tries.argmax(1)
-        best = tries.max(1) + padded[t]
-        last = lengths > t
-        final[last] = best[last]
-    labels, now = np.zeros((steps, chains), np.int64), final.argmax(1)
-    for t in range(steps - 1, -1, -1):
-        inside = lengths > t
-        labels[t, inside] = now[inside]
+    lengths = lengths[lengths > 0]
+    order = np.argsort(-lengths, kind="stable")
+    sizes = lengths[order]
+    steps = _Steps(sizes, (np.cumsum(lengths) - lengths)[order])
+    laid, k = steps.laid(scores), scores.shape[1]
+    best, back, final = laid[steps.at(0)], np.zeros((len(scores), k), np.int8), np.zeros(len(sizes), np.int64)
+    for t in range(steps.n):
+        if t:
+            tries = best[: steps.alive[t], :, None] + trans
+            back[steps.at(t)] = tries.argmax(1)
+            best = tries.max(1) + laid[steps.at(t)]
+        ends = steps.alive[t + 1] if t + 1 < steps.n else 0
+        final[ends : steps.alive[t]] = best[ends:].argmax(1)
+    labels = np.zeros(len(scores), np.int64)
+    for t in range(steps.n - 1, -1, -1):
+        n = steps.alive[t]
+        labels[steps.at(t)] = final[:n]
         if t:
-            now = np.where(inside, back[t, np.arange(chains), now], now)
-    return labels.reshape(-1)[flat]
+            final[:n] = back[steps.at(t)][np.arange(n), final[:n]]
+    return steps.back(labels)
 
 
 def train(features: np.ndarray, types: np.ndarray, gold: np.ndarray, lengths: np.ndarray, labels: int, n_features: int, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3, shifts: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +223,8 @@ class TypeScores:
                 grown = np.zeros((max(need, min(2 * len(self.rows), self.most)), self.rows.shape[1]), np.float32)
                 grown[: self.used] = self.rows[: self.used]
                 self.rows = grown
-            self.rows[self.used : need] = self.compute(new)
+            for at in range(0, len(new), TYPES_AT_ONCE):
+                self.rows[self.used + at : self.used + min(len(new), at + TYPES_AT_ONCE)] = self.compute(new[at : at + TYPES_AT_ONCE])
             self.places.update(zip(new, range(self.used, need), strict=True))
             self.used = need
             found = list(map(get, words))

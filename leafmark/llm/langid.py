@@ -1,8 +1,9 @@
 """Op 6: language of a text by a linear-chain conditional random field over its words.
 
-A long word, as of a text without spaces, is cut into several. Each word has affix, n-gram and lexicon features; learned transitions let the label
-change inside a text where languages are mixed. Forward-backward gives each word's
-label probabilities, and a text's are their mean over its words with a letter.
+A long word, as of a text without spaces, is cut into several. Each word has affix,
+n-gram and lexicon features; learned transitions let the label change inside a text
+where languages are mixed. Forward-backward over the whole text, one chain, gives each
+word's label probabilities, and a text's are their mean over its words with a letter.
 """
 
 from __future__ import annotations
@@ -12,18 +13,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import caches, crf
 from leafmark.llm.arrow import map_rows
 from leafmark.storage import table
 
-#: Labelled rows to learn from, for each language, at most, and their characters at most.
+#: Labelled rows to learn from, for each language, at most, and the characters of a row's window at most.
 TRAIN_ROWS = 160
 TRAIN_CHARS = 20_000
-#: Languages at most; beyond, those with the most rows are learned.
-LANGUAGES = 64
 LEXICON = 4000
 BUCKETS = 1 << 15
 WIDTH = 20
@@ -136,23 +135,22 @@ def learn(rows: list[tuple[str, str]]) -> Model | None:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most TRAIN_ROWS labelled texts of each language from documents that are not held out."""
+    """At most TRAIN_ROWS labelled texts of each language from documents that are not held out.
+
+    Of a text of more than TRAIN_CHARS characters, a window of that many from a place that a
+    hash of its doc_id chooses. Every language with a labelled text is learned.
+    """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    # One row for each language, the largest LANGUAGES of them.
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not sizes:
         return []
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * TRAIN_ROWS / r["n"]))))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * TRAIN_ROWS / r["n"]))))
     spread = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = usable.where((F.length("text") <= TRAIN_CHARS) & (spread < share[F.col("lang")])).select("lang", "text", spread.alias("at"))
-    most = len(sizes) * TRAIN_ROWS * 3
-    rows, used = sorted((r["at"], r["lang"], r["text"]) for r in picked.orderBy("at", "lang", "text").limit(most).collect()), Counter()
-    out = []
-    for _, lang, text in rows:
-        used[lang] += 1
-        if used[lang] <= TRAIN_ROWS:
-            out.append((text, lang))
-    return out
+    start = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int")
+    few = usable.where(spread < share[F.col("lang")]).select("lang", F.substr("text", start + 1, F.lit(TRAIN_CHARS)).alias("text"), spread.alias("at"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    picked = few.withColumn("place", place).where(F.col("place") <= TRAIN_ROWS)
+    return sorted((r["text"], r["lang"]) for r in picked.select("lang", "text").collect())
 
 
 def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]:
@@ -171,12 +169,12 @@ def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]
         sums: list[np.ndarray] = []
 
         def block() -> None:
-            lengths = np.concatenate([crf.chain_lengths(n) for _, n in held])
+            lengths = np.array([n for _, n in held], np.int64)
             found = scores.of(words)
             emission, letter = found[:, :k], found[:, k:]
-            marginal = crf.forward_backward(emission, lengths, model.trans)[0]
+            marginal = crf.forward_backward(emission, lengths, model.trans, with_pairs=False)[0]
             marks = np.concatenate([marginal * letter, letter], 1)
-            starts = np.cumsum([0, *(n for _, n in held[:-1])])
+            starts = np.cumsum([0, *lengths[:-1]])
             for (i, _), total in zip(held, np.add.reduceat(marks, starts, axis=0, dtype=np.float64), strict=True):
                 sums[i] += total
 
@@ -193,14 +191,13 @@ def _labels(model: Model | None) -> Callable[[Iterable[tuple]], Iterator[tuple]]
             ids.append(doc_id)
             sums.append(np.zeros(k + 1))
             own = words_of(text)
-            for at in range(0, len(own), crf.BLOCK_WORDS):
-                part = own[at : at + crf.BLOCK_WORDS]
-                held.append((len(ids) - 1, len(part)))
-                words.extend(part)
-                if len(words) >= crf.BLOCK_WORDS:
-                    block()
-                    held.clear()
-                    words.clear()
+            if own:
+                held.append((len(ids) - 1, len(own)))
+                words.extend(own)
+            if len(words) >= crf.BLOCK_WORDS:
+                block()
+                held.clear()
+                words.clear()
             if not held:
                 yield from results()
                 ids.clear()

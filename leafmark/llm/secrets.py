@@ -1,16 +1,20 @@
 """Op 8: secret scans by base patterns and a linear-chain conditional random field.
 
 The field tags each word as secret begin (B), inside (I) or outside (O) from its
-shape, those of its neighbours and features of its file, decoded by Viterbi. It
-adds spans where its path leaves O; spans of the base patterns always stay.
+shape, those of its neighbours and features of its file, decoded by Viterbi over the
+whole text. A begin and the insides that follow it are one added span; spans of the
+base patterns always stay.
 
-A word whose O score leads by more than any path can gain elsewhere is O on every
-best path, so chains of such words alone need no decoding.
+A word whose O score leads by more than any labels of its neighbours could give back is
+O on the best path. Such words cut the chain: what lies between two of them is decoded
+with its certain neighbours at both ends, and nothing else can change a label.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,13 +32,13 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
 HEX = re.compile(r"[0-9a-f]+", re.A)
 KINDS = ("assign", "access", "hex", "crf")
-#: Documents to learn from, and their characters at most.
+#: Documents to learn from, and the characters of a document's window at most.
 TRAIN_ROWS = 240
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 8_000
 ROUNDS = 40
 LABELS = 3  # O, B, I
-#: Characters of an added span at least.
-LEAST = 12
+#: Characters from which a word of a base match is taught as a secret.
+TAUGHT = 12
 _PLAIN = re.compile(r"[\"'(\[]*[^\W\d_]+(?:['’-][^\W\d_]+)*[\"')\]]*[.,;:!?…]*").fullmatch
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _HEX_MAP = bytes(0x68 if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
@@ -87,10 +91,15 @@ def _features(words: list[str]) -> np.ndarray:
     return out
 
 
-#: Features of a file: shares of odd words and of assignments among its words, in steps.
+#: Features of a file, from this number on: the step that the share of odd words among its words has reached.
+FILE_FEATURE = 140
 FILE_STEPS = (0.0, 0.01, 0.05, 0.2)
 
 
+def file_step(odd: float, words: int) -> int:
+    return int(np.searchsorted(FILE_STEPS, odd / max(1, words), side="right")) - 1
+
+
 def _secret(random: np.random.Generator) -> str:
     """A made-up secret of one of several forms."""
     pick = lambda alphabet, n: "".join(random.choice(list(alphabet), n))
@@ -123,12 +132,15 @@ def _decoy(random: np.random.Generator) -> str:
 
 
 class Model:
-    """weights: [3 neighbours (before, own, after) * N_FEATURES, labels]; file: added to B by step."""
+    """weights: [3 neighbours (before, own, after) * N_FEATURES, labels]."""
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray) -> None:
         self.weights, self.trans = weights, trans
-        self.file = np.array([0.0, 0.0, -0.25, -0.75], np.float32)
-        self.gain = float(trans.max() - trans[0, 0]) * 2
+        parts = weights.reshape(3, N_FEATURES, LABELS)
+        #: Scores that a file's step adds to a word through the word before, itself and the word after.
+        self.file = parts[:, FILE_FEATURE : FILE_FEATURE + len(FILE_STEPS)]
+        #: What choosing a label over O can gain at most by its two transitions.
+        self.gain = np.maximum(0, (trans - trans[:, :1]).max(0)) + np.maximum(0, (trans - trans[:1]).max(1))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         found = _features(words)
@@ -143,12 +155,13 @@ def learn(texts: list[str], seed: int = 11) -> Model:
     words, gold, lengths = [], [], []
     lead = ["password =", "token:", "secret =", "api_key =", "key:", "Authorization: Bearer", "login with", "export KEY =", "use", "the", ""]
     for text in sorted(texts) or ["a plain text without anything to hide"]:
-        own = text.split()[: 4 * crf.CHAIN] or ["a"]
-        spans = base_spans(" ".join(own))
+        own = text.split() or ["a"]
+        joined = " ".join(own)
+        spans = [m.span(1) for m in ASSIGN.finditer(joined) if len(m[1]) >= 8] + [(s, e) for s, k, e in base_spans(joined) if k]
         at, y, w = 0, [], []
         for word in own:
-            hit = any(s < at + len(word) and e > at for s, _, e in spans)
-            y.append(1 if hit and _VALUE.search(word) and len(word) >= LEAST else 0)
+            hit = any(s < at + len(word) and e > at for s, e in spans)
+            y.append(1 if hit and _VALUE.search(word) and len(word) >= TAUGHT else 0)
             w.append(word)
             at += len(word) + 1
             chance = random.random()
@@ -164,12 +177,15 @@ def learn(texts: list[str], seed: int = 11) -> Model:
         for i in range(1, len(y)):
             if y[i] and y[i - 1]:
                 y[i] = 2
-        words += w
+        step = file_step(sum(not _PLAIN(x) for x in w), len(w))
+        words += [(x, step) for x in w]
         gold += y
-        lengths += crf.chain_lengths(len(w)).tolist()
+        lengths.append(len(w))
     kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
     types = np.array([kinds[w] for w in words], np.int64)
-    weights, trans = crf.train(_features(list(kinds)), types, np.array(gold, np.int64), np.array(lengths, np.int64), LABELS, N_FEATURES, ROUNDS, shifts=(-1, 0, 1))
+    steps = np.array([[FILE_FEATURE + step] for _, step in kinds], np.int64)
+    features = np.concatenate([_features([w for w, _ in kinds]), steps], 1)
+    weights, trans = crf.train(features, types, np.array(gold, np.int64), np.array(lengths, np.int64), LABELS, N_FEATURES, ROUNDS, shifts=(-1, 0, 1))
     return Model(weights, trans)
 
 
@@ -177,50 +193,54 @@ def _scores(model: Model) -> crf.TypeScores:
     return held(("secrets", model.weights.tobytes()[:4096]), lambda: crf.TypeScores(model.emissions, 3 * LABELS + 1))
 
 
+def emissions(words: list[str], model: Model) -> np.ndarray:
+    """Scores of each word of a text for O, B and I, with those of its neighbours and its file."""
+    k, found = LABELS, _scores(model).of(words)
+    step = file_step(float(found[:, 3 * k].sum()), len(words))
+    before, own, after = (found[:, i * k : (i + 1) * k] + model.file[i, step] for i in range(3))
+    out = own.copy()
+    out[1:] += before[:-1]
+    out[:-1] += after[1:]
+    return out
+
+
 def tagged_words(words: list[str], model: Model) -> np.ndarray:
-    """The label of each word of a text."""
+    """The label of each word of a text on its best path."""
+    scores = emissions(words, model)
+    unsure = (scores[:, :1] - scores[:, 1:] <= model.gain[1:]).any(1)
     labels = np.zeros(len(words), np.int64)
-    scores = _scores(model)
-    odd_total = 0
-    parts = []
-    for at in range(0, len(words), crf.BLOCK_WORDS):
-        found = scores.of(words[at : at + crf.BLOCK_WORDS])
-        k = LABELS
-        emission = found[:, k : 2 * k].copy()
-        chain = np.arange(len(found)) // crf.CHAIN
-        inner = chain[1:] == chain[:-1]
-        emission[1:] += found[:-1, :k] * inner[:, None]
-        emission[:-1] += found[1:, 2 * k : 3 * k] * inner[:, None]
-        odd_total += float(found[:, 3 * k].sum())
-        parts.append((at, emission, chain))
-    share = odd_total / max(1, len(words))
-    step = int(np.searchsorted(FILE_STEPS, share, side="right")) - 1
-    for at, emission, chain in parts:
-        emission[:, 1] += model.file[step]
-        unsure = emission[:, 0] - emission[:, 1:].max(1) <= model.gain
-        if not unsure.any():
-            continue
-        todo = np.unique(chain[unsure])
-        rows = np.flatnonzero(np.isin(chain, todo))
-        lengths = np.bincount(chain)[todo]
-        labels[at + rows] = crf.viterbi(emission[rows], lengths, model.trans)
+    if unsure.any():
+        # Stretches of unsure words with a certain one at each end, where there is one.
+        near = unsure.copy()
+        near[1:] |= unsure[:-1]
+        near[:-1] |= unsure[1:]
+        rows = np.flatnonzero(near)
+        # Two certain words in a row end one stretch and begin the next.
+        fresh = (np.diff(rows) > 1) | (~unsure[rows[1:]] & ~unsure[rows[:-1]])
+        lengths = np.diff(np.flatnonzero(np.concatenate([[True], fresh, [True]])))
+        labels[rows] = crf.viterbi(scores[rows], lengths, model.trans)
     return labels
 
 
 def crf_spans(text: str, model: Model) -> list[tuple[int, int]]:
-    """Spans of the field's tagged words: the longest value-like run of each."""
+    """Spans of the field's begins with their insides, from the first value-like run to the end of the last."""
     words = text.split()
     if not words:
         return []
     labels = tagged_words(words, model)
     if not labels.any():
         return []
-    out = []
+    out: list[tuple[int, int]] = []
+    inside = False
     for label, m in zip(labels, re.finditer(r"\S+", text), strict=True):
         if label:
             core = max(_VALUE.finditer(m[0]), key=lambda v: v.end() - v.start(), default=None)
-            if core and core.end() - core.start() >= LEAST:
-                out.append((m.start() + core.start(), m.start() + core.end()))
+            start, end = (m.start() + core.start(), m.start() + core.end()) if core else m.span()
+            if label == 2 and inside:
+                out[-1] = out[-1][0], end
+            else:
+                out.append((start, end))
+        inside = label > 0
     return out
 
 
@@ -229,18 +249,22 @@ def scan(text: str | None, model: Model) -> tuple[int, int, int, str, str]:
     text = text or ""
     base = base_spans(text)
     joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-    more = [(s, 3, e) for s, e in crf_spans(text, model) if not any(a < e and b > s for a, _, b in base)]
+    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for *_, e in base), max))
+    met = lambda s, e: (i := bisect.bisect_left(starts, e)) > 0 and reach[i - 1] > s  # noqa: E731  a base span overlaps
+    more = [(s, 3, e) for s, e in crf_spans(text, model) if not met(s, e)]
     counts = [sum(k == i for _, k, _ in base) for i in range(3)]
     return *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """At most TRAIN_ROWS texts, spread over all documents by a hash of doc_id."""
-    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    """At most TRAIN_ROWS texts, spread over all documents by a hash of doc_id; of a longer text, a window of TRAIN_CHARS from a hashed place."""
+    usable = docs.where(F.col("text").isNotNull())
     spread = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30))
+    start = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int")
     n = docs.count()
     share = usable.where(spread < int((1 << 30) * min(1.0, 3.0 * TRAIN_ROWS / max(n, 1))))
-    return [r["text"] for r in share.orderBy(spread, "text").limit(TRAIN_ROWS).select("text").collect()]
+    picked = share.select(spread.alias("at"), F.substr("text", start + 1, F.lit(TRAIN_CHARS)).alias("text"))
+    return [r["text"] for r in picked.orderBy("at", "text").limit(TRAIN_ROWS).collect()]
 
 
 def scan_documents(docs: DataFrame, model: Model) -> DataFrame:
