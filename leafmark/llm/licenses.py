@@ -50,17 +50,26 @@ TAG = "spdx license identifier"
 FREEDOM = {"mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by": 0.9, "mpl-2": 0.7, "lgpl": 0.6, "epl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "gpl-2": 0.4, "gpl-3": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "proprietary": 0.0}
 UNKNOWN = 0.5
 PRECEDENCE = {"WITH": 3, "AND": 2, "OR": 1}
+#: Identifiers without a digit or hyphen that are told from prose by being listed.
+PLAIN_IDS = frozenset("0bsd aal adsl afmparse beerware bsl curl eurosym fair ftl imatix info-zip intel json libpng libtiff naumen ncsa ngpl nokia ntp openssl plexus postgresql ppl psutils qhull ruby sendmail sleepycat unlicense vim vsl w3c wtfpl x11 xerox xnet zed zlib".split())
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _TAGGED = re.compile(r"SPDX-License-Identifier[^\S\n]*:[^\S\n]*([^\n]*)", re.I)
 _KEEP = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
 def to_rpn(expression: str) -> list[str] | None:
-    """A license expression in postfix order; None if it is malformed."""
+    """A license expression in postfix order; None if it is malformed.
+
+    It ends where prose begins: at a word that cannot be an identifier, and at an
+    operator in small letters that no identifier follows.
+    """
     out, stack, operand = [], [], True
-    for token in _TOKEN.findall(expression):
+    tokens = _TOKEN.findall(expression)
+    for i, token in enumerate(tokens):
         op = token.upper()
         if op in PRECEDENCE:
+            if token != op and not operand and not (i + 1 < len(tokens) and (tokens[i + 1] == "(" or is_identifier(tokens[i + 1]))):
+                break
             if operand:
                 return None
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[op]:
@@ -80,7 +89,10 @@ def to_rpn(expression: str) -> list[str] | None:
                 return None
             stack.pop()
         else:
-            if not operand:
+            if not operand or not is_identifier(token):
+                if operand and stack and stack[-1] != "(":
+                    stack.pop()  # an operator with prose behind it
+                    operand = False
                 break  # the expression is over; prose follows
             out.append(token)
             operand = False
@@ -89,6 +101,12 @@ def to_rpn(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def is_identifier(token: str) -> bool:
+    """Known by its label, or of the form of identifiers: a listed word, or letters with a digit or hyphen."""
+    low = token.lower()
+    return label_of(token) in FREEDOM or low in PLAIN_IDS or (low[0].isalnum() and any(c.isalpha() for c in low) and any(c.isdigit() or c == "-" for c in low.strip("-.+:")))
+
+
 def label_of(identifier: str) -> str:
     """The label of an identifier, e.g. Apache-2.0 is apache-2 and GPL-3.0-or-later gpl-3."""
     name = re.sub(r"(-only|-or-later|\+)$", "", identifier.lower())
@@ -131,15 +149,21 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     """n_words, n_base, first_word, last_word, base_labels, labels, score of a whole text."""
     words = (text or "").encode().lower().translate(_KEEP).split()
     stream = b"".join([b" ", b" ".join(words), b" "])
-    places, base, own, tagged = [], set(), set(), False
+    starts, base, own, tagged = [], set(), set(), False
     for end, phrase in _automaton().iter(stream.decode("latin-1")):
         if phrase in BASE:
-            places.append(stream.count(b" ", 0, end - len(phrase)) - 1)
+            starts.append(end - len(phrase))
             base.add(BASE[phrase])
         elif phrase == TAG:
             tagged = True
         else:
             own.add(PHRASES[phrase])
+    # The word that begins at a byte: the blanks before it, counted once along the text.
+    places, at, blanks = [], 0, -1
+    for start in sorted(starts):
+        blanks += stream.count(b" ", at, start)
+        at = start
+        places.append(blanks)
     freedom = [FREEDOM[x] for x in base | own]
     for expression in _TAGGED.findall(text) if tagged else ():
         if rpn := to_rpn(expression):
