@@ -132,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(found: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of each language of COMMON_WORDS over all documents that pass the base rules."""
+    """Mean histograms of each language over all its documents that pass the base rules."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict[str, np.ndarray] = {}
@@ -144,10 +144,10 @@ def references(found: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             for i in np.flatnonzero(s):
                 yield lang, int(i), int(s[i])
 
-    usable = found.where(~F.col("base_failed") & F.col("lang").isin(*COMMON_WORDS)).select("lang", "classes", "common")
+    usable = found.where(~F.col("base_failed") & F.col("lang").isNotNull()).select("lang", "classes", "common")
     sums = map_rows(usable, rows, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     out = {}
-    for r in sums.collect():  # languages of COMMON_WORDS by bins
+    for r in sums.collect():  # languages by bins
         out.setdefault(r["lang"], np.zeros(len(CLASSES) + len(_WORDS) + 1))[r["bin"]] = r["n"]
     return {k: (v[: len(CLASSES)], v[len(CLASSES) :]) for k, v in sorted(out.items())}
 
@@ -157,14 +157,16 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
 
     A text is held against the reference of its lang; if that is null or has no
     reference, against the one whose common words are nearest. The character
-    distance counts from MIN_CHARS code points on, the common-word distance from
-    MIN_WORDS words on. A null text has no words, and fails for that; so does an
+    distance counts from MIN_CHARS code points on; the common-word distance from
+    MIN_WORDS words on, and only where the reference's language has a list of
+    common words, so a text in another language is judged by its characters. A null text has no words, and fails for that; so does an
     empty one. If nothing passes the base rules there is no reference, and the base
     rules alone decide. Equal rows get equal results. Other columns are ignored.
     """
     found = materialize(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")), "quality")
     known = references(found)
     names = list(known)
+    listed = [i for i, n in enumerate(names) if n in COMMON_WORDS] or list(range(len(names)))
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         while part := list(islice(each, 1024)):
@@ -173,13 +175,13 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
             if names:
                 by_word = np.stack([js_distance(common, known[n][1]) for n in names], 1)
                 by_char = np.stack([js_distance(classes, known[n][0]) for n in names], 1)
-                near = by_word.argmin(1)
+                near = np.array(listed)[by_word[:, listed].argmin(1)]
                 at = np.array([names.index(r[1]) if r[1] in known else near[i] for i, r in enumerate(part)])
                 row = np.arange(len(part))
                 word, char = by_word[row, at], by_char[row, at]
             for i, r in enumerate(part):
                 d_char = float(char[i]) if names and classes[i].sum() >= MIN_CHARS else None
-                d_word = float(word[i]) if names and r[2] >= MIN_WORDS else None
+                d_word = float(word[i]) if names and r[2] >= MIN_WORDS and names[at[i]] in COMMON_WORDS else None
                 passed = (d_char is None or d_char <= char_limit) and (d_word is None or d_word <= word_limit)
                 yield r[0], *r[2:8], bool(passed and not r[7]), names[at[i]] if names else None, d_char, d_word
 
