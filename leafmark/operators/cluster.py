@@ -1,31 +1,20 @@
 """Greedy and transitive operators over a page's rectangles.
 
-Their results depend on the order of decisions, so each runs once a page as a grouped
-pandas function over arrays of edges. Every sort ends in the id.
+Which rectangles touch at all is found by range joins. The decisions, which hang on their
+order, are then made page by page over those pairs alone, never over all pairs of a page.
+Every sort ends in the id.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDGES = ["x0", "y0", "x1", "y1"]
-
-
-def flat(rects: DataFrame) -> DataFrame:
-    """page, id, r as page, id and four edge columns."""
-    return rects.select("page", "id", *(F.col("r")[e].alias(e) for e in EDGES))
-
+from leafmark.functions import rects as R
+from leafmark.operators.grouped import by_group
+from leafmark.operators.spatial import range_join
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-    h = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-    i = w * h
-    area = lambda r: np.abs(r[:, 2] - r[:, 0]) * np.abs(r[:, 3] - r[:, 1])
-    u = area(a)[:, None] + area(b)[None, :] - i
-    return np.where(u <= 1e-6, 0.0, i / np.maximum(u, 1e-6))
+EDGES = ["x0", "y0", "x1", "y1"]
 
 
 def _kinds(df: DataFrame) -> tuple[str, str]:
@@ -36,60 +25,59 @@ def _kinds(df: DataFrame) -> tuple[str, str]:
 def components(rects: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Transitive clusters of a page's rectangles whose IoU exceeds the threshold: page, id, cluster (its smallest id)."""
     page_kind, id_kind = _kinds(rects)
+    near = range_join(rects, rects, (F.col("a.id") < F.col("b.id")) & (R.iou(F.col("a.r"), F.col("b.r")) > threshold))
+    links = near.select("page", F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+    rows = rects.select("page", "id", F.col("id").alias("other")).unionByName(links)
+
+    def label(page: list[tuple]) -> list[tuple]:
+        lead: dict = {}
+
+        def root(x: object) -> object:
+            lead.setdefault(x, x)
+            while lead[x] != x:
+                lead[x] = x = lead[lead[x]]
+            return x
 
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("id").reset_index(drop=True)
-        near = iou_matrix(page[EDGES].to_numpy(), page[EDGES].to_numpy()) > threshold
-        mark = np.arange(len(page))
-        while True:
-            least = np.where(near, mark[None, :], len(page)).min(1)
-            least = np.minimum(mark, least)
-            if (least == mark).all():
-                break
-            mark = least[least]
-        return pd.DataFrame({"page": page["page"], "id": page["id"], "cluster": page["id"].to_numpy()[mark]})
+        for _, a, b in page:
+            low, high = sorted((root(a), root(b)))
+            lead[high] = low
+        return [(page[0][0], x, root(x)) for x in sorted(lead)]
 
-    return flat(rects).groupBy("page").applyInPandas(label, f"page {page_kind}, id {id_kind}, cluster {id_kind}")
+    return by_group(rows, ["page"], ["id", "other"], label, f"page {page_kind}, id {id_kind}, cluster {id_kind}")
 
 
 def suppress(rects: DataFrame, threshold: float = 0.80, limit: int = 200) -> DataFrame:
     """Largest first, drops a rectangle inside a kept one or with a larger IoU than the threshold; at most limit a page."""
     page_kind, id_kind = _kinds(rects)
+    a, b = F.col("a.r"), F.col("b.r")
+    larger = F.struct((-R.area(a)).alias("s"), F.col("a.id").alias("i")) < F.struct((-R.area(b)).alias("s"), F.col("b.id").alias("i"))
+    near = range_join(rects, rects, larger & (R.contains(a, b) | (R.iou(a, b) > threshold)))
+    over = near.groupBy("page", F.col("b.id").alias("id")).agg(F.collect_set("a.id").alias("over"))
+    rows = rects.select("page", "id", (-R.area(F.col("r"))).alias("size")).join(over, ["page", "id"], "left")
 
-    def pick(page: pd.DataFrame) -> pd.DataFrame:
-        size = (page["x1"] - page["x0"]).abs() * (page["y1"] - page["y0"]).abs()
-        page = page.assign(size=size).sort_values(["size", "id"], ascending=[False, True])
-        r = page[EDGES].to_numpy()
-        kept: list[int] = []
-        for i in range(len(r)):
-            k = r[kept]
-            inside = ((k[:, 0] <= r[i, 0]) & (k[:, 1] <= r[i, 1]) & (k[:, 2] >= r[i, 2]) & (k[:, 3] >= r[i, 3])).any() if kept else False
-            if not inside and not (kept and (iou_matrix(r[i : i + 1], k) > threshold).any()):
-                kept.append(i)
-                if len(kept) >= limit:
-                    break
-        return page.iloc[kept][["page", "id"]]
+    def pick(page: list[tuple]) -> list[tuple]:
+        kept: set = set()
+        for _, i, _, over in page:
+            if len(kept) < limit and not (over and not kept.isdisjoint(over)):
+                kept.add(i)
+        return [(page[0][0], i) for _, i, *_ in page if i in kept]
 
-    return flat(rects).groupBy("page").applyInPandas(pick, f"page {page_kind}, id {id_kind}")
+    return by_group(rows, ["page"], ["size", "id"], pick, f"page {page_kind}, id {id_kind}")
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one pairs by falling IoU from the threshold on, page by page: page, pred_id, truth_id, iou."""
     page_kind, id_kind = _kinds(pred)
+    iou = R.iou(F.col("a.r"), F.col("b.r"))
+    near = range_join(pred, truth, iou >= threshold).select("page", F.col("a.id").alias("pred_id"), F.col("b.id").alias("truth_id"), iou.alias("iou"))
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("id"), b.set_axis(["page", "id", *EDGES], axis=1).sort_values("id")
-        iou = iou_matrix(a[EDGES].to_numpy(), b[EDGES].to_numpy())
-        i, j = np.nonzero(iou >= threshold)
-        order = np.lexsort((j, i, -iou[i, j]))
+    def pair(page: list[tuple]) -> list[tuple]:
         left, right, out = set(), set(), []
-        for k in order:
-            if i[k] not in left and j[k] not in right:
-                left.add(i[k])
-                right.add(j[k])
-                out.append((a["page"].iloc[0], a["id"].iloc[i[k]], b["id"].iloc[j[k]], iou[i[k], j[k]]))
-        return pd.DataFrame(out, columns=["page", "pred_id", "truth_id", "iou"])
-
-    # Other names on this side, as both may come from one table.
-    other = truth.select(F.col("page").alias("t_page"), F.col("id").alias("t_id"), *(F.col("r")[e].alias(f"t_{e}") for e in EDGES))
-    return flat(pred).groupBy("page").cogroup(other.groupBy("t_page")).applyInPandas(pair, f"page {page_kind}, pred_id {id_kind}, truth_id {id_kind}, iou double")
+        for row in page:
+            if row[1] not in left and row[2] not in right:
+                left.add(row[1])
+                right.add(row[2])
+                out.append(row)
+        return out
+
+    return by_group(near, ["page"], [F.desc("iou"), "pred_id", "truth_id"], pair, f"page {page_kind}, pred_id {id_kind}, truth_id {id_kind}, iou double")

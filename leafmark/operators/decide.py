@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.operators.runs import numbered
+
 #: Evidence buckets and their weights (fixed values).
-SCORE_WEIGHTS = {"geometry": 0.30, "label": 0.20, "section": 0.15, "pattern": 0.10, "ontology": 0.10, "sibling": 0.10, "ocr": 0.05}
+SCORE_WEIGHTS = {"geometric": 0.30, "blank_region": 0.20, "nearby_label": 0.15, "layout": 0.10, "repeated": 0.10, "semantic": 0.10, "model": 0.05}
 #: Weights of the confidence axes (fixed values).
 AXES = {"geometry": 0.35, "label_link": 0.25, "semantic_type": 0.25, "autofill_value": 0.15}
 NOISY_CAP = 0.999
 
 
-def fused_score(buckets: dict[str, Column]) -> Column:
+def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
+    """The weights of the buckets scaled to sum 1: negative ones count as 0, and if none is left all are equal."""
+    values = {name: max(0.0, weights.get(name, 0.0)) for name in SCORE_WEIGHTS}
+    total = sum(values.values())
+    return {name: v / total if total else 1 / len(values) for name, v in values.items()}
+
+
+def fused_score(buckets: dict[str, Column], weights: dict[str, float] = SCORE_WEIGHTS) -> Column:
     """Weighted sum of a candidate's bucket scores, each within 0 and 1."""
     total = F.lit(0.0)
-    for name, weight in SCORE_WEIGHTS.items():
+    for name, weight in weights.items():
         total = total + weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(buckets[name], F.lit(0.0))))
     return total
 
@@ -154,5 +163,5 @@ def merge_vaults(ours: DataFrame, theirs: DataFrame, prefer: str = "higher_confi
 
 def deduped_names(df: DataFrame, name: str, order: list) -> DataFrame:
     """Adds unique_name: the second and later rows of a name get _1, _2 and so on."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn("unique_name", F.when(place == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), place.cast("string"))))
+    unique = F.when(F.col("at") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("at").cast("string")))
+    return numbered(df, order, [name]).withColumn("unique_name", unique).drop("at", "n")

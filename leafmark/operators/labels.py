@@ -18,7 +18,6 @@ ALIASES = {
     "street address": "address.street", "city": "address.city", "state": "address.state", "zip code": "address.zip", "country": "address.country", "employer": "employment.employer",
     "job title": "employment.title", "start date": "employment.start_date", "annual income": "employment.income", "account number": "bank.account", "routing number": "bank.routing",
     "card number": "card.number", "signature": "document.signature", "date": "document.date", "company name": "company.name", "tax id": "company.tax_id", "policy number": "insurance.policy",
-    "green almond": "misc.green", "small part": "misc.small",
 }
 #: Words that say whose or what a label is, without changing its key.
 ROLES, FILLERS = ("applicant", "borrower", "patient", "employee", "your", "the"), ("here", "below", "required", "optional")
@@ -43,14 +42,14 @@ def lookup(df: DataFrame, label: str, aliases: dict[str, str] = ALIASES) -> Data
 def fuzzy_lookup(df: DataFrame, aliases: dict[str, str] = ALIASES, cutoff: float = 0.55, top: int = 12) -> DataFrame:
     """Aliases like each label by the Ratcliff-Obershelp ratio: id, canonical_key, score (thousandths), best per key.
 
-    df has id and label. The alias table is a constant of the program; labels go
-    through it an Arrow batch at a time.
+    df has id and label. The alias table is a constant of the program. Each distinct
+    label is compared once, an Arrow batch at a time.
     """
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for id_, label in zip(batch["id"], batch["norm"], strict=True):
+            for label in batch["norm"]:
                 best: dict[str, float] = {}
                 matcher = difflib.SequenceMatcher(autojunk=False)
                 matcher.set_seq2(label or "")
@@ -58,11 +57,12 @@ def fuzzy_lookup(df: DataFrame, aliases: dict[str, str] = ALIASES, cutoff: float
                     matcher.set_seq1(alias)
                     if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (r := matcher.ratio()) >= cutoff:
                         best[key] = max(best.get(key, 0.0), r)
-                out += [(id_, k, int(1000 * r)) for k, r in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:top]]
-            yield pd.DataFrame(out, columns=["id", "canonical_key", "score"])
+                out += [(label, k, int(1000 * r)) for k, r in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:top]]
+            yield pd.DataFrame(out, columns=["norm", "canonical_key", "score"])
 
     named = df.select(F.col("id").cast("long").alias("id"), T.normalize_label(F.col("label")).alias("norm"))
-    return named.mapInPandas(match, "id bigint, canonical_key string, score bigint")
+    found = named.select("norm").distinct().mapInPandas(match, "norm string, canonical_key string, score bigint")
+    return named.join(found, "norm").select("id", "canonical_key", "score")
 
 
 #: Score of a label by where it stands, and what adds to or takes from it (fixed values).

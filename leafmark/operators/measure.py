@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.operators.runs import numbered
+
 
 def recall_precision(df: DataFrame, pred: str, truth: str, key: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, recall, precision and f1 of a boolean prediction; a rate over nothing is 1 if nothing was missed or wrong, else 0."""
@@ -30,8 +32,7 @@ def macro_f1(pairs: DataFrame, pred: str, truth: str) -> DataFrame:
 
 def deciles(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Nine deciles, each the value at place floor(n * d / 10) of the sorted values."""
-    order = Window.partitionBy(*key).orderBy(value)
-    ranked = df.select(*key, value).withColumns({"at": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(*key))})
+    ranked = numbered(df.select(*key, value), [value], key)
     picks = F.explode(F.sequence(F.lit(1), F.lit(9)))
     named = ranked.withColumn("d", picks).where(F.col("at") == F.floor(F.col("n") * F.col("d") / 10))
     return named.groupBy(*key).pivot("d", list(range(1, 10))).agg(F.first(value)).select(*key, *(F.col(str(d)).alias(f"d{d}") for d in range(1, 10)))
@@ -61,8 +62,6 @@ def otsu(bins: DataFrame, key: list[str]) -> DataFrame:
 
 def thinned(df: DataFrame, order: list, limit: int, key: list[str] | None = None) -> DataFrame:
     """At most limit rows per key, evenly spaced in order and the same on every run."""
-    key = key or []
-    w = Window.partitionBy(*key).orderBy(*order)
-    ranked = df.withColumns({"at": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy(*key))})
+    ranked = numbered(df, order, key)
     keep = (F.col("n") <= limit) | (F.floor(F.col("at") * limit / F.col("n")) != F.floor((F.col("at") - 1) * limit / F.col("n")))
     return ranked.where(keep).drop("at", "n")

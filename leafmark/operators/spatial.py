@@ -1,8 +1,9 @@
 """Joins over rectangles: overlap, containment, adjacency and nearest neighbours.
 
-Rows meet on a page and a grid cell, so a page that holds a large share of all
-rectangles is spread over many keys. A pair is kept in the one cell that holds the
-lower corner of the two rectangles' common box, so nothing needs to be made distinct.
+Where the largest page has few rectangles, as counted first, rows meet on the page. Else
+they meet on a page and a grid cell, so a page that holds a large share of all rectangles
+is spread over many keys. A pair is kept in the one cell that holds the lower corner of
+the two rectangles' common box, so nothing needs to be made distinct.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from leafmark.functions import rects as R
 
 CELL = 256.0
+#: Rectangles of a page up to which all its pairs are tried.
+FEW = 256
 
 
 def _cells(df: DataFrame, box: Column, cell: float, prefix: str) -> DataFrame:
@@ -22,6 +25,11 @@ def _cells(df: DataFrame, box: Column, cell: float, prefix: str) -> DataFrame:
     return df.withColumn("cy", F.explode(F.sequence(F.col(f"{prefix}cy0"), F.greatest(F.col(f"{prefix}cy0"), at(box["y1"])))))
 
 
+def _most(rects: DataFrame) -> int:
+    """Rectangles of the largest page."""
+    return rects.where("page IS NOT NULL").groupBy("page").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def range_join(left: DataFrame, right: DataFrame, keep: Column, reach: tuple[float, float] = (0.0, 0.0), cell: float = CELL) -> DataFrame:
     """Pairs a, b of rows of one page whose boxes come within reach and that pass ``keep``.
 
@@ -30,6 +38,8 @@ def range_join(left: DataFrame, right: DataFrame, keep: Column, reach: tuple[flo
     """
     a = left.where("r IS NOT NULL").select("page", F.struct(*left.columns).alias("a"), R.inflated(F.col("r"), *reach).alias("box"))
     b = right.where("r IS NOT NULL").select("page", F.struct(*right.columns).alias("b"), F.col("r").alias("other"))
+    if _most(left) <= FEW and (right is left or _most(right) <= FEW):
+        return a.join(b, "page").where(R.intersects(F.col("box"), F.col("other")) & keep).select("page", "a", "b")
     a, b = _cells(a, F.col("box"), cell, "a"), _cells(b, F.col("other"), cell, "b")
     met = a.join(b, ["page", "cx", "cy"])
     once = (F.col("cx") == F.greatest("acx0", "bcx0")) & (F.col("cy") == F.greatest("acy0", "bcy0"))

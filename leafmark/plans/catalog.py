@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     """The whole catalogue."""
-    from leafmark.plans import catalog_forms, catalog_text  # noqa: F401  add their own
+    from leafmark.plans import catalog_detect, catalog_forms, catalog_schema, catalog_text  # noqa: F401  add their own
 
     return CATALOG
 
@@ -49,12 +49,12 @@ def rect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 90 * 8).cast("double")
     r = R.rect(x0, y0, x0 + 20 + 8 * F.col("l_quantity"), y0 + 40 + 20 * F.col("l_linenumber"))
-    name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
+    name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
     return t.select(F.col("l_orderkey").alias("page"), name.alias("id"), r.alias("r"), F.col("l_returnflag").alias("kind"))
 
 
 RECTS = """rects AS (
-  SELECT l_orderkey AS page, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_returnflag AS kind,
+  SELECT l_orderkey AS page, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id, l_returnflag AS kind,
          (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 90 * 8)::DOUBLE AS y0,
          (l_partkey % 500)::DOUBLE + 20 + 8 * l_quantity AS x1, (l_suppkey % 90 * 8)::DOUBLE + 40 + 20 * l_linenumber AS y1
   FROM lineitem)"""
@@ -256,8 +256,8 @@ EVIDENCE = """e AS (SELECT user_id AS candidate, event_type AS kind, floor(least
   (props ->> '$.k')::INT AS k, event_id, ts FROM events)"""
 
 
-@query(f"""WITH {EVIDENCE} SELECT candidate, max(score) FILTER (k % 7 = 0) AS geometry, max(score) FILTER (k % 7 = 1) AS label, max(score) FILTER (k % 7 = 2) AS section,
-  max(score) FILTER (k % 7 = 3) AS pattern, max(score) FILTER (k % 7 = 4) AS ontology, max(score) FILTER (k % 7 = 5) AS sibling, max(score) FILTER (k % 7 = 6) AS ocr FROM e GROUP BY candidate""")
+@query(f"""WITH {EVIDENCE} SELECT candidate, max(score) FILTER (k % 7 = 0) AS geometric, max(score) FILTER (k % 7 = 1) AS blank_region, max(score) FILTER (k % 7 = 2) AS nearby_label,
+  max(score) FILTER (k % 7 = 3) AS layout, max(score) FILTER (k % 7 = 4) AS repeated, max(score) FILTER (k % 7 = 5) AS semantic, max(score) FILTER (k % 7 = 6) AS model FROM e GROUP BY candidate""")
 def evidence_buckets(spark, sf_dir):
     names = list(decide.SCORE_WEIGHTS)
     return evidence(spark, sf_dir).groupBy("candidate").agg(*(F.max(F.when(F.col("k") % 7 == i, F.col("score"))).alias(n) for i, n in enumerate(names)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import rects as R
 from leafmark.functions import text as T
 from leafmark.functions import values as V
-from leafmark.operators import decide, labels, measure, spatial
+from leafmark.operators import decide, labels, measure, runs, spatial
 from leafmark.plans.catalog import PAIRS, RECTS, millionths, query, rect_rows
 from leafmark.storage import table
 
@@ -63,13 +63,17 @@ def heading_levels(spark, sf_dir):
     return h.select("doc_id", "pos", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("score"))).cast("long").alias("level"), F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("next_pos"))
 
 
-_REDACT = r"""substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', ' ', 'g'), ' +', ' ', 'g'), ' '),
-  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', 'x@x', 'g'), '[0-9]', '#', 'g'), 1, 200)"""
+_REDACT = r"""CASE WHEN regexp_matches(t, '^[^@ ]+@[^@ ]+\.[A-Za-z#]{2,}$') THEN regexp_replace(t, '[A-Za-z]', 'x', 'g') ELSE t END"""
 
 
-@query(f"SELECT doc_id, {_REDACT} AS shown FROM documents")
+@query(rf"""WITH {WORDS}, all_texts AS (SELECT doc_id, -1 AS pos, text FROM documents UNION ALL SELECT doc_id, pos, word FROM words WHERE word LIKE '%@%'), t AS (
+SELECT doc_id, pos, regexp_replace(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]', ' ', 'g'), ' +', ' ', 'g'), ' '), '[0-9]', '#', 'g') AS t FROM all_texts)
+SELECT doc_id, pos, substr({_REDACT}, 1, 200) AS shown FROM t""")
 def redact_text_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("shown"))
+    """Whole documents (pos -1) and their words with an at sign."""
+    words = doc_words(spark, sf_dir).where(F.col("word").contains("@")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("word").alias("text"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).cast("long").alias("pos"), "text").unionByName(words)
+    return texts.select("doc_id", "pos", T.redact(F.col("text")).alias("shown"))
 
 
 _SHAPES = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in T.SECRET_SHAPES.items())
@@ -106,8 +110,12 @@ def _bare(c):
 @query("WITH " + WORDS + ", b AS (SELECT doc_id, pos, regexp_replace(word, '[.,;:!?]+$', '') AS w FROM words), r AS (SELECT doc_id, pos, CASE "
        + " ".join(f"WHEN regexp_full_match(w, '{p}') THEN '{n}'" for n, p, _ in RULES) + " END AS rule FROM b) SELECT doc_id, pos, rule FROM r WHERE rule IS NOT NULL")
 def pattern_classify_tokens(spark, sf_dir):
-    rule = F.coalesce(*(F.when(_bare(F.col("word")).rlike(f"^({p})$"), F.lit(n)) for n, p, _ in RULES))
-    return doc_words(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), rule.alias("rule")).where("rule IS NOT NULL")
+    """Every rule needs a digit or an at sign, so other words are left out before they become rows."""
+    numbered = F.transform(F.split("text", "[ \n]", -1), lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word")))
+    odd = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(numbered, lambda r: r["word"].rlike("[0-9@]"))).alias("r"))
+    bare = odd.select("doc_id", "r.pos", _bare(F.col("r.word")).alias("bare"))
+    rule = F.coalesce(*(F.when(F.col("bare").rlike(f"^({p})$"), F.lit(n)) for n, p, _ in RULES))
+    return bare.select("doc_id", "pos", rule.alias("rule")).where("rule IS NOT NULL")
 
 
 _N = lambda p: f"length(regexp_replace(word, '[^{p}]', '', 'g'))"
@@ -125,12 +133,15 @@ _DIG, _LET = "translate({0}, 'OoIlZzSsBg', '0011225589')", "translate({0}, '0125
 _OTHER = "CASE WHEN translate(substr(word, i, 1), 'OoIlZzSsBg', '0011225589') <> substr(word, i, 1) THEN translate(substr(word, i, 1), 'OoIlZzSsBg', '0011225589') ELSE translate(substr(word, i, 1), '01258', 'OIZSB') END"
 
 
-@query(f"""WITH {WORDS}, w AS (SELECT DISTINCT word FROM words WHERE regexp_matches(word, '[0-9]') AND length(word) <= 12), a AS (
-  SELECT word, list_concat([{_DIG.format('word')}, {_LET.format('word')}], list_transform(generate_series(1, length(word)), lambda i: substr(word, 1, i - 1) || {_OTHER} || substr(word, i + 1))) AS l FROM w)
-SELECT word, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x <> word))), ' ') AS others FROM a""")
+@query(f"""WITH {WORDS}, w AS (SELECT DISTINCT word FROM words WHERE regexp_matches(word, '[0-9]')), a AS (
+  SELECT word, list_concat([{_DIG.format('word')}, {_LET.format('word')}], list_transform(generate_series(1, length(word)), lambda i: substr(word, 1, i - 1) || {_OTHER} || substr(word, i + 1))) AS l FROM w),
+e AS (SELECT word, unnest(l) AS other, generate_subscripts(l, 1) AS k FROM a), d AS (SELECT word, other, min(k) AS k FROM e WHERE other <> word GROUP BY word, other),
+first AS (SELECT word, other FROM d QUALIFY row_number() OVER (PARTITION BY word ORDER BY k) <= 16)
+SELECT word, coalesce(string_agg(other, ' ' ORDER BY other), '') AS others FROM w LEFT JOIN first USING (word) GROUP BY word""")
 def suspect_alternatives(spark, sf_dir):
-    w = doc_words(spark, sf_dir).where(F.col("word").rlike("[0-9]") & (F.length("word") <= 12)).select("word").distinct()
-    return w.select("word", F.array_join(F.array_sort(T.alternatives(F.col("word"), 64)), " ").alias("others"))
+    """Other readings of each word with a digit: sixteen at most, as the operator gives."""
+    w = doc_words(spark, sf_dir).where(F.col("word").rlike("[0-9]")).select("word").distinct()
+    return w.select("word", F.array_join(F.array_sort(T.alternatives(F.col("word"))), " ").alias("others"))
 
 
 @query(f"""WITH {WORDS}, c AS (SELECT doc_id, least(9, length(word) % 11) AS bucket FROM words) SELECT doc_id, bucket, count(*) AS n FROM c GROUP BY doc_id, bucket""")
@@ -139,19 +150,26 @@ def confidence_histogram(spark, sf_dir):
     return doc_words(spark, sf_dir).groupBy("doc_id", b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 120) AS truth FROM benchmark), b AS (SELECT item_id, truth, lead(truth) OVER (ORDER BY item_id) AS other FROM p)
+#: DuckDB's levenshtein goes by bytes, so the accented letters of the texts are put one to one on control characters.
+_ONE_BYTE = "translate(coalesce(text, ''), 'ÄÇÈÉÊÑÖÜßäçèéêíñóöü', " + " || ".join(f"chr({i})" for i in (*range(1, 9), *range(11, 23))) + ")"
+
+
+@query(f"""WITH p AS (SELECT item_id, {_ONE_BYTE} AS truth FROM benchmark), b AS (SELECT item_id, truth, lead(truth) OVER (ORDER BY item_id) AS other FROM p)
 SELECT item_id, levenshtein(other, truth) AS edits, floor(levenshtein(other, truth) / length(truth)::DOUBLE * 1e6 + 0.5)::BIGINT AS rate FROM b WHERE other IS NOT NULL AND length(truth) > 0""")
 def cer_near_copies(spark, sf_dir):
-    """Character error rate of each benchmark item read as the next one (printable openings)."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 120).alias("truth"))
-    both = b.withColumn("read", F.lead("truth").over(Window.orderBy("item_id"))).where("read IS NOT NULL AND length(truth) > 0")
+    """Character error rate of each whole benchmark item read as the next one."""
+    b = runs.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("truth")), ["item_id"])
+    both = b.join(b.select((F.col("at") - 1).alias("at"), F.col("truth").alias("read")), "at").where("length(truth) > 0")
     return both.select("item_id", F.levenshtein("read", "truth").cast("long").alias("edits"), millionths(T.character_error_rate(F.col("read"), F.col("truth"))).alias("rate"))
 
 
 @query(None)
 def fuzzy_alias_difflib(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return labels.fuzzy_lookup(names, labels.ALIASES)
+    """Labels made from the aliases by leaving out one letter, a place that the part's key chooses."""
+    alias = F.get(F.array(*map(F.lit, labels.ALIASES)), (F.col("p_partkey") % len(labels.ALIASES)).cast("int"))
+    at = (F.col("p_partkey") % F.length(alias)).cast("int") + 1
+    label = F.concat(F.substr(alias, F.lit(1), at - 1), F.substr(alias, at + 1))
+    return labels.fuzzy_lookup(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label")), labels.ALIASES)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN b < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(b)) AS amount FROM (SELECT c_custkey, floor(c_acctbal * 4) / 4 AS b FROM customer)")
@@ -181,19 +199,31 @@ def zip_phone_ssn_format(spark, sf_dir):
     return n.select("id", V.phone_us(t).alias("phone"), V.phone_e164(t).alias("e164"), V.ssn(s).alias("ssn"), V.ein(s).alias("ein"), V.zip5(z).alias("zip"), V.zip9(s).alias("zip9"), V.check_phone_us(t)["ok"].alias("phone_ok"), V.check_ssn(s)["ok"].alias("ssn_ok"))
 
 
-@query("""WITH n AS (SELECT c_custkey AS id, lpad((c_custkey * 104729 % 1000000000)::VARCHAR, 9, '0') AS s, lpad((c_custkey % 97)::VARCHAR, 2, '0') AS k, lpad((c_custkey * 7919)::VARCHAR, 18, '0') AS acct FROM customer)
-SELECT id, (3 * (s[1]::INT + s[4]::INT + s[7]::INT) + 7 * (s[2]::INT + s[5]::INT + s[8]::INT) + s[3]::INT + s[6]::INT + s[9]::INT) % 10 = 0 AS aba_ok,
+@query("""WITH n AS (SELECT c_custkey AS id, lpad((c_custkey * 104729 % 1000000000)::VARCHAR, 9, '0') AS s, lpad((c_custkey % 97)::VARCHAR, 2, '0') AS k, lpad((c_custkey * 7919)::VARCHAR, 18, '0') AS acct,
+  lpad((c_custkey * 7919)::VARCHAR, 8, '0') || CASE WHEN c_custkey % 11 = 10 THEN 'X' ELSE (c_custkey % 11)::VARCHAR END || lpad((c_custkey * 31)::VARCHAR, 8, '0') AS v FROM customer)
+SELECT id, list_sum(list_transform([8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2], lambda w, i: w * coalesce(try_cast(v[i] AS INT), 7))) % 11 = CASE v[9] WHEN 'X' THEN 10 ELSE v[9]::INT END AS vin_ok, (3 * (s[1]::INT + s[4]::INT + s[7]::INT) + 7 * (s[2]::INT + s[5]::INT + s[8]::INT) + s[3]::INT + s[6]::INT + s[9]::INT) % 10 = 0 AS aba_ok,
   (acct || '1314' || k)::HUGEINT % 97 = 1 AS iban_ok FROM n""")
 def iban_aba_vin_checks(spark, sf_dir):
     k = F.col("c_custkey")
-    n = table(spark, sf_dir, "customer").select(k.alias("id"), F.lpad((k * 104729 % 1000000000).cast("string"), 9, "0").alias("s"), F.concat(F.lit("DE"), F.lpad((k % 97).cast("string"), 2, "0"), F.lpad((k * 7919).cast("string"), 18, "0")).alias("i"))
-    return n.select("id", V.check_routing_aba(F.col("s"))["ok"].alias("aba_ok"), V.check_iban(F.col("i"))["ok"].alias("iban_ok"))
+    n = table(spark, sf_dir, "customer").select(k.alias("id"), F.lpad((k * 104729 % 1000000000).cast("string"), 9, "0").alias("s"), F.concat(F.lit("DE"), F.lpad((k % 97).cast("string"), 2, "0"), F.lpad((k * 7919).cast("string"), 18, "0")).alias("i"),
+        F.concat(F.lpad((k * 7919).cast("string"), 8, "0"), F.when(k % 11 == 10, "X").otherwise((k % 11).cast("string")), F.lpad((k * 31).cast("string"), 8, "0")).alias("v"))
+    return n.select("id", V.check_vin(F.col("v"))["ok"].alias("vin_ok"), V.check_routing_aba(F.col("s"))["ok"].alias("aba_ok"), V.check_iban(F.col("i"))["ok"].alias("iban_ok"))
+
+
+_CAPITAL = """CASE WHEN starts_with(p, 'mc') AND length(p) > 2 THEN 'Mc' || upper(p[3]) || substr(p, 4) WHEN starts_with(p, 'mac') AND length(p) > 3 THEN 'Mac' || upper(p[4]) || substr(p, 5) ELSE upper(p[1]) || substr(p, 2) END"""
+_ODD_NAMES = ("{} van der berg", "Mc{}", "mac{} o'brien", "DE LA {}", "anne-{}", "mac mc {}")
 
 
-@query("SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') AS name FROM part WHERE NOT regexp_matches(lower(p_name), '(^| )(mc|mac|van|von|de|der|den|la|le|di|da|del|dos)|[''-]')")
+@query(f"""WITH n AS (SELECT p_partkey AS id, lower(CASE p_partkey % 12 {' '.join(f"WHEN {i} THEN replace('" + s.replace("'", "''") + "', '{}', p_name)" for i, s in enumerate(_ODD_NAMES))} ELSE p_name END) AS name FROM part)
+SELECT id, array_to_string(list_transform(string_split(name, ' '), lambda w, i: CASE WHEN i > 1 AND list_contains([{', '.join(repr(x) for x in V.PARTICLES)}], w) THEN w
+  ELSE array_to_string(list_transform(regexp_extract_all(w, '([^''-]*[''-]?)'), lambda p: {_CAPITAL}), '') END), ' ') AS name FROM n""")
 def name_case_parts(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where(~F.lower("p_name").rlike("(^| )(mc|mac|van|von|de|der|den|la|le|di|da|del|dos)|['-]"))
-    return p.select(F.col("p_partkey").alias("id"), V.name_case(F.upper("p_name")).alias("name"))
+    """Every part's name, half of them put into a name with particles, Mc, Mac, a hyphen or an apostrophe."""
+    k, name = F.col("p_partkey") % 12, F.col("p_name")
+    for i, shape in enumerate(_ODD_NAMES):
+        before, after = shape.split("{}")
+        name = F.when(k == i, F.concat(F.lit(before), F.col("p_name"), F.lit(after))).otherwise(name)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), V.name_case(F.upper(name)).alias("name"))
 
 
 # measures --------------------------------------------------------------------------------
@@ -283,9 +313,10 @@ def array_last32(spark, sf_dir):
     """The last 32 distinct labels of each user, oldest first."""
     label = F.concat_ws("-", "event_type", F.get_json_object("props", "$.k"))
     seen = table(spark, sf_dir, "events").groupBy("user_id", label.alias("label")).agg(F.max("event_id").alias("seen"))
-    ordered = seen.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seen", "label"))).alias("l"))
-    last = F.slice("l", F.greatest(F.size("l") - 31, F.lit(1)), 32)
-    return ordered.select("user_id", F.array_join(F.transform(last, lambda x: x["label"]), ",").alias("labels"))
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seen")))
+    last = seen.withColumn("back", back).where("back <= 32")  # cut before the shuffle too, as a group limit
+    ordered = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seen", "label"))).alias("l"))
+    return ordered.select("user_id", F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("labels"))
 
 
 # pages and documents -------------------------------------------------------------------------

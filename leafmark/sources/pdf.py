@@ -239,7 +239,7 @@ def interpret(content: bytes, advance: float = 0.5) -> tuple[list[tuple], list[t
     spans, shapes, stack = [], [], []
     ctm, pen = (1, 0, 0, 1, 0, 0), 1.0
     tm = line = (1, 0, 0, 1, 0, 0)
-    size, lead, path, boxes = 12.0, 0.0, [], []
+    size, lead, path, boxes, curves = 12.0, 0.0, [], [], 0
     args: list = []
     r = Reader(content)
 
@@ -292,15 +292,23 @@ def interpret(content: bytes, advance: float = 0.5) -> tuple[list[tuple], list[t
             path = [_times((1, 0, 0, 1, *n), ctm)[4:]]
         elif v == b"l" and len(n) == 2:
             path.append(_times((1, 0, 0, 1, *n), ctm)[4:])
+        elif v in (b"c", b"v", b"y") and len(n) >= 4 and path:
+            curves += 1
+            path.append(_times((1, 0, 0, 1, *n[-2:]), ctm)[4:])
+        elif v == b"h" and path:
+            path.append(path[0])
         elif v == b"re" and len(n) == 4:
             a, b = _times((1, 0, 0, 1, n[0], n[1]), ctm)[4:], _times((1, 0, 0, 1, n[0] + n[2], n[1] + n[3]), ctm)[4:]
             boxes.append((min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1])))
         elif v in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
             if v != b"n":
                 shapes += [("line" if min(x1 - x0, y1 - y0) <= 3 else "rect", x0, y0, x1, y1, pen) for x0, y0, x1, y1 in boxes]
-                for (x0, y0), (x1, y1) in zip(path, path[1:], strict=False):
-                    shapes.append(("line", min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1), pen))
-            path, boxes = [], []
+                if curves >= 4:
+                    shapes.append(("circle", min(x for x, _ in path), min(y for _, y in path), max(x for x, _ in path), max(y for _, y in path), pen))
+                elif not curves:
+                    for (x0, y0), (x1, y1) in zip(path, path[1:], strict=False):
+                        shapes.append(("line", min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1), pen))
+            path, boxes, curves = [], [], 0
         args = []
     return spans, shapes
 
@@ -391,6 +399,27 @@ def _text(s: str) -> bytes:
     return b"(" + re.sub(rb"([\\()])", rb"\\\1", s.encode("latin-1", "replace")) + b")"
 
 
+def _drawn(item: tuple) -> bytes:
+    """Operators that draw one item: text, line, rect or circle."""
+    kind, *v = item
+    if kind == "text":
+        x, y, size, s = v
+        return b"BT /F1 %g Tf %g %g Td %s Tj ET" % (size, x, y, _text(s))
+    if kind == "line":
+        return b"%g %g m %g %g l S" % tuple(v)
+    if kind == "rect":
+        return b"%g %g %g %g re S" % tuple(v)
+    x, y, r = v
+    c = 0.5523 * r  # control points of a quarter circle
+    turns = ((x + r, y + c, x + c, y + r, x, y + r), (x - c, y + r, x - r, y + c, x - r, y), (x - r, y - c, x - c, y - r, x, y - r), (x + c, y - r, x + r, y - c, x + r, y))
+    return b"\n".join([b"%g %g m" % (x + r, y), *(b"%g %g %g %g %g %g c" % t for t in turns), b"h S"])
+
+
+def write_drawing(items: list[tuple], width: float = 612, height: float = 792) -> bytes:
+    """A page with what is drawn on it: ("text", x, y, size, s), ("line", x0, y0, x1, y1), ("rect", x, y, w, h), ("circle", x, y, r)."""
+    return _file([b"0.6 w", *map(_drawn, items)], [], width, height)
+
+
 def write_form(labels: list[tuple[str, str, str | None]], width: float = 612, height: float = 792) -> bytes:
     """A one-page form: for each (label, kind, value) a printed label and a rule, box or check box; a value makes it a live field.
 
@@ -407,6 +436,10 @@ def write_form(labels: list[tuple[str, str, str | None]], width: float = 612, he
             ops.append(b"%d %d %d %d re S" % (rect[0], rect[1], rect[2] - rect[0], rect[3] - rect[1]))
         if value is not None:
             fields.append((label, kind, value, rect))
+    return _file(ops, fields, width, height)
+
+
+def _file(ops: list[bytes], fields: list[tuple], width: float, height: float) -> bytes:
     content = codecs.flate_encode(b"\n".join(ops))
     first = 6
     refs = b" ".join(b"%d 0 R" % (first + i) for i in range(len(fields)))

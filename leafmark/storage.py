@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only in a local session without it, as in tests."""
     found = spark.conf.get(SHARED_CONF, None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SHARED_CONF} to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="leafmark-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set(SHARED_CONF, own)
@@ -56,4 +58,11 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table that ``materialize`` gave, once nothing reads it any more."""
+    remove(df.sparkSession, df.written_to)

@@ -11,8 +11,6 @@ from leafmark.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ALL = catalog.all_queries()
-#: lineitem's four-column id repeats at this small scale; the driver's comparison uses a larger one.
-REPEATED_IDS = {"dedupe_components"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -40,7 +38,7 @@ def plain(rows, columns):
     return sorted(tuple(value(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql and n not in REPEATED_IDS])
+@pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
 def test_matches_sql(spark, duck, name):
     f, sql = ALL[name]
     got = f(spark, SF)
