@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.storage import materialize
+from leafmark.storage import materialize, release
 
 ROUNDS = 60
 
@@ -39,7 +39,8 @@ def connected(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = materialize(_small_star(_large_star(now)), "links")
+        last, now = now, materialize(_small_star(_large_star(now)), "links")
+        release(last)
     else:
         raise RuntimeError(f"links did not settle in {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

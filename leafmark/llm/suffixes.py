@@ -11,7 +11,7 @@ then tell how far each member's repeats reach.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -33,6 +33,10 @@ BIG, RANGE = 20_000, 16
 HUGE = 1_000_000
 #: Distinct contexts up to which pairs are compared one by one.
 FEW = 24
+#: The part of members whose contexts a task has met twice, and bytes of contexts that it holds to find such.
+SETTLED, HELD = -2, 16_000_000
+#: The share of all shared places, one in so many, beyond which an anchor's rows are not shuffled by it.
+HOT = 500
 #: Texts a task remembers to tell exact copies.
 SEEN = 400_000
 
@@ -181,16 +185,19 @@ def reaches(lefts: list[bytes], rights: list[bytes], length: int = LENGTH, share
     return out
 
 
-def covered(members: list[tuple[int, list[int], int, bytes]], length: int = LENGTH, shared: int = 0) -> Iterator[tuple[int, int, int]]:
-    """Repeated stretches (text, start, end) of a group of (text, anchor's places, bytes before it, context)."""
-    contexts: dict[tuple[int, bytes], list[tuple[int, list[int]]]] = {}
+def covered(members: Iterable[tuple[int | None, list[int], int, bytes]], length: int = LENGTH, shared: int = 0) -> Iterator[tuple[int, int, int]]:
+    """Repeated stretches (text, start, end) of a group of (text, anchor's places, bytes before it, context).
+
+    A member without a text says that its context is known to stand several times.
+    """
+    contexts: dict[tuple[int, bytes], list[tuple[int | None, list[int]]]] = {}
     for uid, places, left, context in members:
         contexts.setdefault((left, context), []).append((uid, places))
     keys = list(contexts)
     found = reaches([c[:left][::-1] for left, c in keys], [c[left:] for left, c in keys], length, shared) if len(keys) > 1 else [None]
     for (left, context), reach in zip(keys, found, strict=True):
         own = contexts[left, context]
-        if len(own) > 1 or len(own[0][1]) > 1:
+        if len(own) > 1 or own[0][0] is None or len(own[0][1]) > 1:
             reach = left, len(context) - left
         if reach:
             for uid, places in own:
@@ -264,6 +271,20 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
     """Members of anchors' groups: texts has uid, data and found (h, spot, n)."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
+        held: dict[tuple, list[tuple[int, list[int]]]] = {}
+        size = 0
+
+        def flush() -> Iterator[tuple]:
+            for (key, part, left, context), members in held.items():
+                if len(members) == 1:
+                    yield key, part, *members[0], left, len(context), context
+                    continue
+                # Met twice here: all of it is repeated whatever else there is. The others need to know
+                # the context once; its members are spread by their own numbers.
+                yield key, part, None, [], left, len(context), context
+                for uid, places in members:
+                    yield uid, SETTLED, uid, places, left, len(context), None
+
         for uid, data, found in each:
             data = _unpacked(data)
             own: dict[tuple, list[int]] = {}
@@ -280,24 +301,41 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
                     core = data[p - low : p + length - high]
                     context = data[p - a1 : p + length - a0]
                     own.setdefault((_window_key(core), low, a1, context), []).append(p)
-            for (key, part, left, context), places in own.items():
-                yield key, part, uid, places, left, context
+            for k, places in own.items():
+                if k not in held:
+                    size += len(k[3]) + 200
+                held.setdefault(k, []).append((uid, places))
+                size += 40
+            if size > HELD:
+                yield from flush()
+                held.clear()
+                size = 0
+        yield from flush()
 
-    return map_rows(texts, rows, "key bigint, part int, uid bigint, places array<int>, left int, context binary", out_rows=5000)
+    return map_rows(texts, rows, "key bigint, part int, uid bigint, places array<int>, left int, size int, context binary", out_rows=5000)
 
 
 def repeats(marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Repeated stretches (uid, start, end), perhaps overlapping, of the marked texts."""
     long = marked.where("hashes IS NOT NULL")
     each = long.select("uid", F.explode(F.arrays_zip("hashes", "spots")).alias("a")).select("uid", F.col("a.hashes").alias("h"), F.col("a.spots").alias("spot"))
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    found = each.join(shared, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "spot", "n")).alias("found"))
+    shared = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    # The rows of an anchor that stands all over would land in one task. No more than HOT anchors
+    # can have over a HOT-th of all places, so these are few whatever the input, and are broadcast.
+    places = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, calm = F.broadcast(shared.where(F.col("n") * HOT > places)), shared.where(F.col("n") * HOT <= places)
+    met = each.join(hot, "h").unionByName(each.join(hot, "h", "left_anti").join(calm, "h"))
+    found = met.groupBy("uid").agg(F.collect_list(F.struct("h", "spot", "n")).alias("found"))
     texts = long.select("uid", "data").join(found, "uid").select("uid", "data", "found")
     dealt = _contexts(texts, length).repartition("key", "part").sortWithinPartitions("key", "part")
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for (_, part), members in groupby(each, key=lambda r: r[:2]):
-            yield from covered([r[2:] for r in members], length, gram if part < 0 else 0)
+            if part == SETTLED:
+                for _, _, uid, places, left, size, _ in members:
+                    yield from ((uid, p - left, p - left + size) for p in places)
+            else:
+                yield from covered(((uid, places, left, context) for _, _, uid, places, left, _, context in members), length, gram if part == -1 else 0)
 
     return map_rows(dealt, rows, "uid bigint, start bigint, stop bigint", out_rows=10_000)
 

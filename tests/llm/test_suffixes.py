@@ -46,9 +46,11 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("big", [20_000, 3])
-def test_removal_matches_brute_force(spark, seed, big, monkeypatch):
-    monkeypatch.setattr(suffixes, "BIG", big)
+@pytest.mark.parametrize(("big", "huge", "hot", "held"), [(20_000, 1_000_000, 500, 16_000_000), (3, 1_000_000, 1, 3_000), (3, 12, 40, 1)])
+def test_removal_matches_brute_force(spark, seed, big, huge, hot, held, monkeypatch):
+    """Also with small bounds: anchors dealt by ranges and by windows, rows broadcast, contexts settled or not in a task."""
+    for name, value in (("BIG", big), ("HUGE", huge), ("HOT", hot), ("HELD", held)):
+        monkeypatch.setattr(suffixes, name, value)
     texts = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = suffixes.remove_repeats(docs.selectExpr("doc_id", "text", "1 AS uid", "'x' AS data")).orderBy("doc_id").collect()
