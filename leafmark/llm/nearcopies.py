@@ -26,6 +26,8 @@ SHINGLE = 5
 OUT_SHINGLES = 100_000
 #: Texts sampled for common shingles, how many must have one, and how many are told. Only speed hangs on these.
 SAMPLE, OFTEN, COMMON = 8_000, 4, 50_000
+#: Nodes of a shingle up to which all are paired.
+FEW = 48
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -116,19 +118,8 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, k bigint, n bigint")
 
 
-def near_pairs(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
-    """All pairs (u, v) of nodes whose similarity is 0.8 or more.
-
-    docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with the doc_id of a row, rep.
-    """
-    spread, alone = Window.partitionBy("h"), prefixes(docs, common_shingles(docs, n_docs))
-    some = alone.withColumns({"a": F.min("k").over(spread), "b": F.max("k").over(spread)}).where("a <> b")
-    some = materialize(some.select("h", "k", "n").distinct(), "prefixes")
-    a, b = some.select("h", F.col("k").alias("u"), F.col("n").alias("nu")), some.select("h", F.col("k").alias("v"), F.col("n").alias("nv"))
-    # What two prefixes do not have in common, all that follows the one that ends first has to make up for.
-    most = F.col("c") - 1 + F.floor((F.greatest("nu", "nv") * 4 + 4) / 5)
-    pairs = a.join(b, "h").where("u < v AND 5 * nu >= 4 * nv AND 5 * nv >= 4 * nu").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
-    pairs = materialize(pairs.where(most * 9 >= (F.col("nu") + F.col("nv")) * 4).select("u", "v"), "pairs")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have a similarity of 0.8 or more."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in each:
@@ -137,15 +128,53 @@ def near_pairs(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
 
     nodes = pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct()
     # Written, so that a small one is known to be small and texts need not be shuffled.
-    wanted = materialize(classes.join(nodes, "k", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    wanted = materialize(classes.join(nodes, "k", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), f"wanted_{name}")
     sets = map_rows(docs.join(wanted, "doc_id", "left_semi").select("text"), rows, "k bigint, hs array<bigint>", out_rows=200)
-    sets = materialize(sets.dropDuplicates(["k"]), "sets")
+    sets = materialize(sets.dropDuplicates(["k"]), f"sets_{name}")
     left, right = sets.select(F.col("k").alias("u"), F.col("hs").alias("hu")), sets.select(F.col("k").alias("v"), F.col("hs").alias("hv"))
     common = F.size(F.array_intersect("hu", "hv"))
     # i / (nu + nv - i) >= 4 / 5
     return pairs.join(left, "u").join(right, "v").where(common * 9 >= (F.size("hu") + F.size("hv")) * 4).select("u", "v")
 
 
+#: Sizes of two sets of a similarity of 0.8 or more.
+_LIKE = "5 * nu >= 4 * nv AND 5 * nv >= 4 * nu"
+
+
+def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
+    """Links (u, v) of nodes that join the same groups as all pairs of a similarity of 0.8 or more would.
+
+    docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with the doc_id of a row, rep.
+
+    The nodes of a shingle are paired with each other if they are few. Of more, each is
+    first held against the smallest; what that joins needs no further link, so pairs are
+    made of nodes in different groups only, and a large group of copies gives as many
+    links as it has members.
+    """
+    spread, alone = Window.partitionBy("h"), prefixes(docs, common_shingles(docs, n_docs))
+    some = alone.withColumns({"a": F.min("k").over(spread), "b": F.max("k").over(spread)}).where("a <> b")
+    some = materialize(some.select("h", "k", "n").distinct(), "prefixes")
+    large = materialize(some.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("k", "n")).alias("first")).where(F.col("size") > FEW), "large")
+    calm, hot = some.join(large.select("h"), "h", "left_anti"), some.join(large.select("h"), "h", "left_semi")
+    stars = some.join(large, "h").select(F.col("first.k").alias("u"), F.col("k").alias("v"), F.col("first.n").alias("nu"), F.col("n").alias("nv"))
+    stars = materialize(stars.where(f"u <> v AND {_LIKE}").select("u", "v").distinct(), "stars")
+    first = materialize(_verified(docs, classes, stars, "stars"), "first_links")
+    group = connected(first).select(F.col("node").alias("k"), "component")
+    grouped = hot.join(group, "k", "left").select("h", "k", "n", F.coalesce("component", "k").alias("c"))
+    grouped = materialize(grouped.withColumns({"a": F.min("c").over(spread), "b": F.max("c").over(spread)}).where("a <> b").select("h", "k", "n", "c"), "grouped")
+
+    def paired(rows: DataFrame, differ: str) -> DataFrame:
+        left, right = (rows.select("h", *(F.col(c).alias(f"{c}{side}") for c in rows.columns if c != "h")) for side in "uv")
+        left, right = left.withColumnRenamed("ku", "u"), right.withColumnRenamed("kv", "v")
+        return left.join(right, "h").where(f"u < v AND {_LIKE}{differ}").select("u", "v", "nu", "nv")
+
+    # What two prefixes do not have in common, all that follows the one that ends first has to make up for.
+    most = F.col("c") - 1 + F.floor((F.greatest("nu", "nv") * 4 + 4) / 5)
+    pairs = paired(calm, "").unionByName(paired(grouped, " AND cu <> cv")).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    pairs = materialize(pairs.where(most * 9 >= (F.col("nu") + F.col("nv")) * 4).select("u", "v"), "pairs")
+    return first.unionByName(_verified(docs, classes, pairs, "pairs"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those that are not the first of their group of near copies; columns as they were.
 
@@ -155,7 +184,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = materialize(_keys(known), "keys")
     classes = materialize(marked.groupBy("k").agg(F.min("doc_id").alias("rep")), "classes")
-    found = near_pairs(known, classes, marked.count())
+    found = near_links(known, classes, marked.count())
     # Texts of one doc_id are linked.
     least = marked.groupBy("doc_id").agg(F.min("k").alias("v"), F.max("k").alias("most")).where("v <> most").select("doc_id", "v")
     again = marked.join(least, "doc_id").select(F.col("k").alias("u"), "v")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.arrow import map_rows
@@ -195,11 +195,17 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def _first_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The smallest row of each doc_id in first, and the rows with a null doc_id; columns as they were."""
+    """The smallest row of each doc_id in first (by text, then by a hash of the rest), and the rows with a null doc_id; columns as they were."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return kept.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    row = F.struct(*(_named(c).alias(c) for c in rest))
+    order = F.struct("text", F.xxhash64(F.to_json(F.struct(*(_named(c).alias(f"c{i}") for i, c in enumerate(rest) if c != "text"), F.lit(0).alias("end")))))
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
+    return kept.select(*(F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import pytest
 from leafmark.llm import nearcopies
+from pyspark.sql import functions as F
 
 
 def brute(texts):
@@ -39,13 +41,37 @@ def corpus(seed):
     return out
 
 
-def test_near_dedup_keeps_the_first_of_each_group(spark):
-    for seed in (1, 2):
-        texts = corpus(seed)
-        docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, k string").repartition(3)
-        got = corpus_pipeline.near_dedup(spark, docs, "")
-        assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == brute(texts)
-        assert len(brute(texts)) <= len(set(texts)) - 15
+@pytest.mark.parametrize(("seed", "few"), [(1, 48), (2, 48), (1, 1), (2, 3)])
+def test_near_dedup_keeps_the_first_of_each_group(spark, seed, few, monkeypatch):
+    """Also with nearly all shingles taken for common to many."""
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    texts = corpus(seed)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, k string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == brute(texts)
+    assert len(brute(texts)) <= len(set(texts)) - 15
+
+
+def test_a_large_group_of_near_copies_makes_few_links(spark):
+    """Pairs are not made within what is joined already."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(300):
+        new = list(base)
+        new[r.randrange(len(new))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = nearcopies._keys(docs)
+    classes = marked.groupBy("k").agg(F.min("doc_id").alias("rep"))
+    assert nearcopies.near_links(docs, classes, len(texts)).count() < 20 * len(texts)
+    assert [r["doc_id"] for r in nearcopies.keep_first(docs).collect()] == [0]
+
+
+def test_columns_of_any_kind_and_name(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1L, 'a b c d e f', map('k', 1), 5), (2L, 'a b c d e f', map('k', 2), 6), (2L, 'z', null, 7), (3L, 'q', null, 8) AS t(doc_id, text, m, `x.y`)")
+    got = nearcopies.keep_first(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["x.y"]) for r in got.collect()) == [(1, 5), (3, 8)]
 
 
 def test_null_and_repeated_ids(spark):
