@@ -51,44 +51,33 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(found: DataFrame) -> DataFrame:
-    """(d, t, g, o, alone, at, h): each fingerprint, and the places and hashes of the lines around it, itself the o-th.
+    """(d, t, g, key, a, b): each fingerprint g, extended by the line before and by the line after it, as a run
+    (key) with the places of its first and last line; and the lines that are long, each by itself.
 
-    The smallest hash of each window, the last of equals, and, alone, the lines that are long.
+    A fingerprint is the smallest hash of a window, the last of equals.
     """
     back = F.transform("h", lambda h, i: F.struct(h.alias("g"), (-i).alias("back")))
     least = _let(back, lambda hs: F.when(F.size(hs) >= WINDOW, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hs) - (WINDOW - 1)), lambda i: -F.array_min(F.slice(hs, i, WINDOW))["back"]))).otherwise(F.array().cast("array<int>")))
 
-    def mark(p: Column, alone: bool) -> Column:
-        low = F.lit(0) + p if alone else F.greatest(p - (WINDOW - 1), F.lit(0))
-        width = 1 if alone else 2 * WINDOW - 1
-        return F.struct(F.get("h", p).alias("g"), (p - low).alias("o"), F.lit(alone).alias("alone"), F.slice("at", low + 1, width).alias("at"), F.slice("h", low + 1, width).alias("h"))
+    def run(p: Column, start: Column, end: Column) -> Column:
+        key = F.when(start == end, F.xxhash64(F.lit(1), F.get("h", start))).otherwise(F.xxhash64(F.get("h", start), F.get("h", end)))
+        made = F.struct(F.get("h", p).alias("g"), key.alias("key"), F.get("at", start).alias("a"), F.get("at", end).alias("b"))
+        return F.when((start >= 0) & (end < F.size("h")), made)
 
     long = F.filter(F.transform("w", lambda w, i: F.when(w, i)), lambda p: p.isNotNull())
-    marks = F.concat(F.transform(least, lambda p: mark(p, False)), F.transform(long, lambda p: mark(p, True)))
-    return found.select("d", "t", F.explode(marks).alias("m")).select("d", "t", "m.*")
-
-
-def _extended() -> Column:
-    """The runs (key, spots) that a fingerprint is part of: a window of lines around it, or itself if it is alone."""
-    size = F.when(F.col("alone"), 1).otherwise(WINDOW)
-
-    def run(start: Column) -> Column:
-        return F.struct(F.xxhash64(size, F.slice("h", start + 1, size)).alias("key"), F.slice("at", start + 1, size).alias("spots"))
-
-    starts = F.sequence(F.greatest(F.col("o") - size + 1, F.lit(0)), F.least(F.col("o"), F.size("h") - size))
-    return F.transform(starts, run)
+    runs = F.concat(F.transform(least, lambda p: run(p, p - 1, p)), F.transform(least, lambda p: run(p, p, p + 1)), F.transform(long, lambda p: run(p, p, p)))
+    return found.select("d", "t", F.explode(runs).alias("m")).where("m IS NOT NULL").select("d", "t", "m.*")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(d, t, gone): places of the lines to delete, for documents that have any."""
     marks = materialize(fingerprints(materialize(lines(docs), "lines")), "fingerprints")
     several = marks.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    runs = marks.join(several, "g", "left_semi").select("d", "t", F.explode(_extended()).alias("r")).select("d", "t", "r.key", "r.spots")
-    runs = materialize(runs, "runs")
-    place = F.struct("d", "t", F.get("spots", F.lit(0)).alias("at"))
+    runs = materialize(marks.join(several, "g", "left_semi").select("key", "d", "t", "a", "b"), "runs")
+    place = F.struct("d", "t", "a")
     first = runs.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     later = runs.join(first, "key").where(place > F.col("first"))
-    return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("gone"))
+    return later.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias("gone"))
 
 
 def _rest() -> Column:
