@@ -1,10 +1,11 @@
 """The pipeline's near-copy stage: one document of each group linked at a Jaccard similarity of 0.8 or more.
 
-Similarity is of the sets of five-word shingles. At 0.8 two SimHash fingerprints of
-64 bits differ in about 10 bits, some pairs in 16, where no bucket of agreeing bits
-is left to search by. So pairs come from a prefix filter, which loses none: in any
-order of all shingles, two sets this alike share one of the first fifth of each.
-The order puts common shingles last. Each pair is held against the exact similarity.
+Similarity is of the sets of five-word shingles. The Gray-order index over SimHash
+fingerprints proposes links first. At 0.8 two fingerprints of 64 bits differ in about
+10 bits, some pairs in 16, where no bucket of agreeing bits is left to search by. So
+what lies beyond the index's radius comes from a prefix filter, which loses none: in
+any order of all shingles, two sets this alike share one of the first fifth of each.
+The order puts common shingles last. Each link is held against the exact similarity.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.llm import simhash
 from leafmark.llm.arrow import map_rows
 from leafmark.llm.components import connected
 from leafmark.llm.simhash import SEED, _first_rows
 from leafmark.storage import materialize
 
 SHINGLE = 5
+#: Differing bits up to which the index proposes a link.
+RADIUS = 3
 #: Shingles of a batch that leaves a task.
 OUT_SHINGLES = 100_000
 #: Texts sampled for common shingles, how many must have one, and how many are told. Only speed hangs on these.
@@ -61,13 +65,20 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, k): each row's node."""
+    """(doc_id, k, fp): each row's node and fingerprint."""
 
     def rows(each: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in each:
-            yield doc_id, text_key(words_of(text))
+            yield doc_id, text_key(words_of(text)), simhash._signed(simhash.fingerprint(text, SHINGLE))
 
-    return map_rows(docs, rows, "doc_id bigint, k bigint")
+    return map_rows(docs, rows, "doc_id bigint, k bigint, fp bigint")
+
+
+def proposed(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v) of nodes that the Gray-order index joins: fingerprints within the radius, or through others."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("k").alias("rep")), "prints")
+    same = classes.select("fp", "k").join(prints, "fp").select(F.col("rep").alias("u"), F.col("k").alias("v"))
+    return same.unionByName(simhash.links(prints, radius)).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -144,9 +155,9 @@ _LIKE = "5 * nu >= 4 * nv AND 5 * nv >= 4 * nu"
 def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     """Links (u, v) of nodes that join the same groups as all pairs of a similarity of 0.8 or more would.
 
-    docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with the doc_id of a row, rep.
+    docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with its fingerprint fp and the doc_id of a row, rep.
 
-    The nodes of a shingle are paired with each other if they are few. Of more, each is
+    The index's proposals are verified first. The nodes of a shingle are paired with each other if they are few. Of more, each is
     first held against the smallest; what that joins needs no further link, so pairs are
     made of nodes in different groups only, and a large group of copies gives as many
     links as it has members.
@@ -157,7 +168,8 @@ def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     large = materialize(some.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("k", "n")).alias("first")).where(F.col("size") > FEW), "large")
     calm, hot = some.join(large.select("h"), "h", "left_anti"), some.join(large.select("h"), "h", "left_semi")
     stars = some.join(large, "h").select(F.col("first.k").alias("u"), F.col("k").alias("v"), F.col("first.n").alias("nu"), F.col("n").alias("nv"))
-    stars = materialize(stars.where(f"u <> v AND {_LIKE}").select("u", "v").distinct(), "stars")
+    stars = stars.where(f"u <> v AND {_LIKE}").select("u", "v").unionByName(proposed(classes))
+    stars = materialize(stars.distinct(), "stars")
     first = materialize(_verified(docs, classes, stars, "stars"), "first_links")
     group = connected(first).select(F.col("node").alias("k"), "component")
     grouped = hot.join(group, "k", "left").select("h", "k", "n", F.coalesce("component", "k").alias("c"))
@@ -183,7 +195,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = materialize(_keys(known), "keys")
-    classes = materialize(marked.groupBy("k").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(marked.groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "classes")
     found = near_links(known, classes, marked.count())
     # Texts of one doc_id are linked.
     least = marked.groupBy("doc_id").agg(F.min("k").alias("v"), F.max("k").alias("most")).where("v <> most").select("doc_id", "v")

@@ -63,7 +63,7 @@ def test_a_large_group_of_near_copies_makes_few_links(spark):
         texts.append(" ".join(new))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marked = nearcopies._keys(docs)
-    classes = marked.groupBy("k").agg(F.min("doc_id").alias("rep"))
+    classes = marked.groupBy("k").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
     assert nearcopies.near_links(docs, classes, len(texts)).count() < 20 * len(texts)
     assert [r["doc_id"] for r in nearcopies.keep_first(docs).collect()] == [0]
 
