@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import answers, ids
 from leafmark.functions import rects as R
 from leafmark.functions import values as V
-from leafmark.operators import evaluate, fuse, profile, vault, verify
+from leafmark.operators import evaluate, fuse, profile, semantics, vault, verify
 from leafmark.plans.catalog import RECTS, millionths, query, rect_rows
 from leafmark.storage import table
 
@@ -291,3 +291,53 @@ def word_error_rates(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), read.alias("read"), F.col("text").alias("truth"))
     out = evaluate.error_rates(b)
     return out.select("id", "char_edits", millionths(F.col("cer")).alias("cer"), "word_edits", millionths(F.col("wer")).alias("wer"))
+
+
+# meaning -------------------------------------------------------------------------------------------
+
+#: Label, sections and texts nearby, and what the cascade should make of them: written by hand.
+READINGS = (
+    ("First Name:", (), (), "person.name.first", 970000), ("City", ("Billing",), (), "billing.address.city", 950000), ("Number", (), ("Card number", "Expiration"), "card.number", 930000), ("", (), ("##-#######",), "company.tax_id.ein", 900000),
+    ("Street", ("Part 1", "bill to"), (), "billing.address.street", 950000), ("code", ("Zip",), (), "person.address.zip", 880000), ("Reference", (), ("555-123-4567",), "person.phone.mobile", 820000), ("Emial address", (), (), "person.email", 784550),
+    ("Zzz qqq", (), (), None, 0), ("Your surname", ("Part 2",), ("Town",), "person.name.last", 970000), ("Phone number", ("Employment",), (), "employment.phone", 950000),
+)
+#: Label, what is drawn, height, texts nearby, whether a currency sign stands left, marks beside, and the type it should be.
+KINDS = (
+    ("Email address", "text", 12, (), False, 0, "email", 780000), ("Any", "checkbox", 12, (), False, 0, "checkbox", 950000), ("Notes", "text", 40, (), False, 0, "multiline_text", 700000), ("Zzz", "unknown", 12, (), False, 0, "text", 400000),
+    ("Amount due", "text", 12, (), True, 0, "currency", 800000), ("Start date", "text", 12, (), False, 0, "date", 450000), ("Birth date", "text", 12, ("MM/DD/YYYY",), False, 0, "date", 970080), ("Please check one", "text", 12, (), False, 0, "choice", 650000),
+    ("Pick", "text", 12, (), False, 3, "choice", 650000), ("Full name", "text", 12, (), False, 0, "text", 780000),
+)
+
+
+def _pick(rows: tuple, at: int, key, kind: str):
+    """The at-th part of the row that a key chooses."""
+    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v).cast(kind)
+    return F.get(F.array(*(lit(r[at]) for r in rows)), (key % len(rows)).cast("int"))
+
+
+def _sql(rows: tuple) -> str:
+    return ", ".join(f"({i}, {'NULL' if r[-2] is None else repr(r[-2])}, {r[-1]})" for i, r in enumerate(rows))
+
+
+@query(f"SELECT c_custkey AS id, v.key AS canonical_key, v.score::BIGINT AS score FROM customer JOIN (VALUES {_sql(READINGS)}) AS v(i, key, score) ON c_custkey % {len(READINGS)} = v.i")
+def canonicalize_fields(spark, sf_dir):
+    """A field for each customer, its label and surroundings by its key."""
+    k = F.col("c_custkey")
+    fields = table(spark, sf_dir, "customer").select(F.lit(0).alias("page"), k.alias("id"), _pick(READINGS, 0, k, "string").alias("label"), _pick(READINGS, 1, k, "").alias("parents"), _pick(READINGS, 2, k, "").alias("nearby"))
+    return semantics.canonicalize(fields).select("id", "canonical_key", millionths(F.col("key_score")).alias("score"))
+
+
+@query(f"SELECT c_custkey AS id, v.kind AS field_type, v.score::BIGINT AS score FROM customer JOIN (VALUES {_sql(KINDS)}) AS v(i, kind, score) ON c_custkey % {len(KINDS)} = v.i")
+def infer_types(spark, sf_dir):
+    k = F.col("c_custkey")
+    pick = lambda at, kind: _pick(KINDS, at, k, kind)
+    found = semantics.infer_type(pick(0, "string"), F.array().cast("array<string>"), pick(1, "string"), pick(2, "double"), F.lit(12.0), pick(3, ""), pick(4, "boolean"), pick(5, "int"))
+    t = table(spark, sf_dir, "customer").select(k.alias("id"), found.alias("t"))
+    return t.select("id", F.col("t.field_type").alias("field_type"), millionths(F.col("t.confidence")).alias("score"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey % 50 AS page, 'key' || (o_custkey % 7) AS k, 'label ' || (o_orderkey % 3) AS l, floor(o_totalprice)::BIGINT % 100 AS s FROM orders),
+b AS (SELECT page, k, max(s) AS s, arg_min(l, (-s, id)) AS l FROM f GROUP BY page, k) SELECT id, CASE WHEN b.s - f.s >= 8 AND b.l <> f.l THEN NULL ELSE f.k END AS canonical_key FROM f JOIN b USING (page, k)""")
+def key_conflicts(spark, sf_dir):
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("page"), F.concat(F.lit("key"), (F.col("o_custkey") % 7).cast("string")).alias("canonical_key"), F.concat(F.lit("Label "), (F.col("o_orderkey") % 3).cast("string")).alias("label"), (F.floor("o_totalprice") % 100 / 100).alias("key_score"), F.lit("").alias("key_reason"))
+    return semantics.without_conflicts(f).select("id", "canonical_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.functions import patterns as P
 from leafmark.functions import rects as R
 from leafmark.functions import text as T
 from leafmark.functions import values as V
@@ -95,27 +96,20 @@ def luhn_scan_docs(spark, sf_dir):
     return doc_words(spark, sf_dir).where(F.length(d) >= 12).select("doc_id", F.col("pos").cast("long").alias("pos"), d.alias("digits"), V.luhn_ok(d).alias("ok"))
 
 
-#: Value rules, best first: name, pattern (whole word) and field type (fixed values).
-RULES = (
-    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "email"), ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "number"), ("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "text"),
-    ("card", "[0-9]{13,16}", "number"), ("ip", "[0-9]{1,3}([.][0-9]{1,3}){3}", "text"), ("iso_date", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "date"),
-    ("phone", "[+]?[0-9][0-9().-]{6,14}[0-9]", "phone"), ("currency", "[$][0-9,]+([.][0-9]{2})?", "currency"), ("decimal", "[0-9]+[.][0-9]+", "number"), ("integer", "[0-9]+", "number"),
-)
-
-
 def _bare(c):
     return F.regexp_replace(c, "[.,;:!?]+$", "")
 
 
+_RULES = P.RULES["value"]
+
+
 @query("WITH " + WORDS + ", b AS (SELECT doc_id, pos, regexp_replace(word, '[.,;:!?]+$', '') AS w FROM words), r AS (SELECT doc_id, pos, CASE "
-       + " ".join(f"WHEN regexp_full_match(w, '{p}') THEN '{n}'" for n, p, _ in RULES) + " END AS rule FROM b) SELECT doc_id, pos, rule FROM r WHERE rule IS NOT NULL")
+       + " ".join(f"WHEN regexp_full_match(w, '{r[1]}') THEN '{r[0]}'" for r in _RULES) + " END AS rule FROM b) SELECT doc_id, pos, rule FROM r WHERE rule IS NOT NULL")
 def pattern_classify_tokens(spark, sf_dir):
-    """Every rule needs a digit or an at sign, so other words are left out before they become rows."""
-    numbered = F.transform(F.split("text", "[ \n]", -1), lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word")))
-    odd = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(numbered, lambda r: r["word"].rlike("[0-9@]"))).alias("r"))
-    bare = odd.select("doc_id", "r.pos", _bare(F.col("r.word")).alias("bare"))
-    rule = F.coalesce(*(F.when(F.col("bare").rlike(f"^({p})$"), F.lit(n)) for n, p, _ in RULES))
-    return bare.select("doc_id", "pos", rule.alias("rule")).where("rule IS NOT NULL")
+    """The best value rule of each word; words that no rule takes are left out before they become rows."""
+    bare = F.transform(F.split("text", "[ \n]", -1), lambda w, i: F.struct(i.cast("long").alias("pos"), _bare(w).alias("bare")))
+    odd = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(bare, lambda r: r["bare"].rlike(P.any_of("value")))).alias("r")).select("doc_id", "r.pos", "r.bare")
+    return odd.select("doc_id", "pos", P.match(F.col("bare"), "value")["name"].alias("rule"))
 
 
 _N = lambda p: f"length(regexp_replace(word, '[^{p}]', '', 'g'))"
