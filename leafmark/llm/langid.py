@@ -238,7 +238,9 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 found = label((None, t) for t in part.column(at).to_pylist())
                 yield part.filter(pa.array([y != UNDETERMINED and score >= least for _, y, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # Under plain names, as mapInArrow takes a dot in a name for a field's.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
