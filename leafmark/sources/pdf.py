@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.functions import pdftext
 from leafmark.sources import codecs
 
 # objects -----------------------------------------------------------------------------
@@ -135,54 +136,154 @@ class Reader:
 
 
 def shown(v: Any) -> str | None:
-    """The text of a string value: UTF-16 by its mark, else one byte a character."""
+    """The text of a string value, by its mark or in the document encoding."""
     if isinstance(v, tuple):
-        raw = v[1]
-        return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
+        return pdftext.decode(v[1])
     return None if v is None else str(v)
 
 
 class Document:
-    """The objects of a file; raises ValueError if there is none."""
+    """The objects of a file by its cross-reference, newest revision first; raises ValueError if there is none.
+
+    A file whose cross-reference is missing or wrong is read from front to back instead
+    (``rebuilt``): a later object takes the place of an earlier one, and what stands within a
+    stream is no object.
+    """
 
     def __init__(self, data: bytes) -> None:
+        self.data, self.rebuilt = data, False
         self.objects: dict[int, Any] = {}
         self.trailer: dict = {}
-        for m in _OBJECT.finditer(data):
-            try:
-                r = Reader(data, m.end())
-                value = r.value()
-                if isinstance(value, dict) and data.startswith(b"stream", at := _SPACE.match(data, r.at).end()):
-                    at += 8 if data.startswith(b"\r\n", at + 6) else 7
-                    size = value.get("Length")
-                    end = at + size if isinstance(size, int) and not isinstance(size, Ref) and data[at + size : at + size + 12].lstrip().startswith(b"endstream") else data.find(b"endstream", at)
-                    stream = Stream(value)
-                    stream.raw = data[at : end if end >= 0 else len(data)]
-                    value = stream
-                self.objects[int(m[1])] = value
-            except (EOFError, ValueError, IndexError):
-                continue
+        #: Where each object stands: a place in the file, or (number of the stream that packs it, its place there); None if it is free.
+        self.places: dict[int, int | tuple[int, int] | None] = {}
+        try:
+            self._follow()
+            self._load()
+            if not isinstance(self.get(self.trailer.get("Root")), dict):
+                raise ValueError("no catalog")
+        except (EOFError, ValueError, IndexError, TypeError, KeyError):
+            self._rebuild()
         if not self.objects:
             raise ValueError("no object found")
-        for obj in [o for o in self.objects.values() if isinstance(o, Stream) and o.get("Type") == "ObjStm"]:
-            self._unpack(obj)
-        for m in re.finditer(rb"trailer", data):
-            try:
-                found = Reader(data, m.end()).value()
-                self.trailer |= found if isinstance(found, dict) else {}
-            except EOFError:
-                continue
-        for o in self.objects.values():
-            if isinstance(o, Stream) and o.get("Type") == "XRef":
-                self.trailer |= {k: v for k, v in o.items() if k in ("Root", "Encrypt", "ID")}
 
-    def _unpack(self, stream: Stream) -> None:
+    # by the cross-reference ------------------------------------------------------
+
+    def _follow(self) -> None:
+        """Reads all sections from the last one back; entries and trailer keys of newer ones stand."""
+        starts = re.findall(rb"startxref[\x00\t\n\x0c\r ]+(\d+)", self.data)
+        if not starts:
+            raise ValueError("no startxref")
+        todo, seen = [int(starts[-1])], set()
+        while todo:
+            at = todo.pop(0)
+            if at in seen:
+                continue
+            seen.add(at)
+            at = _SPACE.match(self.data, at).end()
+            trailer = self._table(at) if self.data.startswith(b"xref", at) else self._section(at)
+            for k, v in trailer.items():
+                self.trailer.setdefault(k, v)
+            todo += [int(trailer[k]) for k in ("XRefStm", "Prev") if isinstance(trailer.get(k), int)]
+
+    def _table(self, at: int) -> dict:
+        r = Reader(self.data, at + 4)
+        while True:
+            first = r.value()
+            if first == b"trailer":
+                found = r.value()
+                if not isinstance(found, dict):
+                    raise ValueError("no trailer")
+                return found
+            count = r.value()
+            for number in range(int(first), int(first) + int(count)):
+                place, _, kind = r.value(), r.value(), r.value()
+                self.places.setdefault(number, int(place) if kind == b"n" and place else None)
+
+    def _section(self, at: int) -> dict:
+        head = _OBJECT.match(self.data, at)
+        stream = self._value_at(head.end()) if head else None
+        if not isinstance(stream, Stream) or stream.get("Type") != "XRef":
+            raise ValueError("no cross-reference")
+        body, widths = self.decoded(stream), [int(w) for w in stream["W"]]
+        index = stream.get("Index") or [0, stream["Size"]]
+        at = 0
+        for first, count in zip(index[::2], index[1::2], strict=True):
+            for number in range(int(first), int(first) + int(count)):
+                row = []
+                for w in widths:
+                    row.append(int.from_bytes(body[at : at + w], "big"))
+                    at += w
+                kind = row[0] if widths[0] else 1
+                self.places.setdefault(number, row[1] if kind == 1 else (row[1], row[2]) if kind == 2 else None)
+        return dict(stream)
+
+    def _load(self) -> None:
+        packed: dict[int, list[int]] = {}
+        for number, place in sorted(self.places.items()):
+            if isinstance(place, tuple):
+                packed.setdefault(place[0], []).append(number)
+            elif place is not None:
+                head = _OBJECT.match(self.data, _SPACE.match(self.data, place).end())
+                if not head or int(head[1]) != number:
+                    raise ValueError("an object is not where it should be")
+                self.objects[number] = self._value_at(head.end())
+        for holder, numbers in packed.items():
+            stream = self.objects.get(holder)
+            if not isinstance(stream, Stream):
+                raise ValueError("no stream of objects")
+            found = self._packed(stream)
+            self.objects |= {n: found[n] for n in numbers if n in found}
+
+    def _value_at(self, at: int) -> Any:
+        """The value that begins at a place, with its bytes if it is a stream."""
+        return self._value_and_end(at)[0]
+
+    def _value_and_end(self, at: int) -> tuple[Any, int]:
+        data, r = self.data, Reader(self.data, at)
+        value = r.value()
+        if not (isinstance(value, dict) and data.startswith(b"stream", at := _SPACE.match(data, r.at).end())):
+            return value, r.at
+        at += 8 if data.startswith(b"\r\n", at + 6) else 7
+        size = value.get("Length")
+        if isinstance(size, Ref) and isinstance(place := self.places.get(int(size)), int):
+            head = _OBJECT.match(data, _SPACE.match(data, place).end())
+            size = Reader(data, head.end()).value() if head else None
+        sized = isinstance(size, int) and not isinstance(size, Ref) and data[at + size : at + size + 12].lstrip().startswith(b"endstream")
+        end = at + size if sized else data.find(b"endstream", at)
+        end = end if end >= 0 else len(data)
+        stream = Stream(value)
+        stream.raw = data[at:end]
+        return stream, end
+
+    # from front to back ------------------------------------------------------------
+
+    def _rebuild(self) -> None:
+        self.rebuilt, self.objects, self.trailer, self.places = True, {}, {}, {}
+        at = 0
+        while m := re.compile(rb"trailer|" + _OBJECT.pattern).search(self.data, at):
+            at = m.end()
+            try:
+                value, at = self._value_and_end(at)
+                if m[0] == b"trailer":
+                    self.trailer |= value if isinstance(value, dict) else {}
+                    continue
+                self.objects[int(m[1])] = value
+                if isinstance(value, Stream) and value.get("Type") == "ObjStm":
+                    self.objects |= self._packed(value)
+                elif isinstance(value, Stream) and value.get("Type") == "XRef":
+                    self.trailer |= {k: v for k, v in value.items() if k in ("Root", "Encrypt", "ID")}
+            except (EOFError, ValueError, IndexError, TypeError):
+                at = max(at, m.end())
+
+    def _packed(self, stream: Stream) -> dict[int, Any]:
+        """The objects in a stream of objects."""
         body = self.decoded(stream)
-        r, heads = Reader(body), []
+        r, heads, out = Reader(body), [], {}
         for _ in range(int(stream.get("N", 0))):
             heads.append((int(r.value()), int(r.value())))
         for number, offset in heads:
-            self.objects.setdefault(number, Reader(body, int(stream.get("First", 0)) + offset).value())
+            out[number] = Reader(body, int(stream.get("First", 0)) + offset).value()
+        return out
 
     def get(self, v: Any) -> Any:
         for _ in range(32):
@@ -219,6 +320,16 @@ class Document:
         walk(self.root.get("Pages"), {})
         return out
 
+    def fonts(self, page: dict) -> dict[str, tuple[dict[bytes, str], list[int]]]:
+        """The maps of codes to texts of a page's fonts that have one, by name."""
+        out = {}
+        own = self.get((self.get(page.get("Resources")) or {}).get("Font")) or {}
+        for name, ref in own.items():
+            found = self.get((self.get(ref) or {}).get("ToUnicode"))
+            if isinstance(found, Stream):
+                out[name] = pdftext.to_unicode(self.decoded(found))
+        return out
+
     def content(self, page: dict) -> bytes:
         found = self.get(page.get("Contents"))
         parts = [self.get(c) for c in found] if isinstance(found, list) else [found]
@@ -234,8 +345,18 @@ def _times(m: tuple, n: tuple) -> tuple:
     return a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u
 
 
-def interpret(content: bytes, advance: float = 0.5) -> tuple[list[tuple], list[tuple]]:
-    """Text spans (text, x0, y0, x1, y1, size) and drawn shapes (kind, x0, y0, x1, y1, thickness) of a page."""
+def interpret(content: bytes, advance: float = 0.5, fonts: dict[str, tuple[dict[bytes, str], list[int]]] | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Text spans (text, x0, y0, x1, y1, size) and drawn shapes (kind, x0, y0, x1, y1, thickness) of a page.
+
+    fonts: by resource name, the texts of codes and their lengths, for fonts that say so.
+    """
+    font: str | None = None
+
+    def read(v: Any) -> str:
+        if isinstance(v, tuple) and fonts and font in fonts:
+            return "".join(t for _, t in pdftext.decode_codes(v[1], *fonts[font]))
+        return shown(v) or ""
+
     spans, shapes, stack = [], [], []
     ctm, pen = (1, 0, 0, 1, 0, 0), 1.0
     tm = line = (1, 0, 0, 1, 0, 0)
@@ -272,7 +393,7 @@ def interpret(content: bytes, advance: float = 0.5) -> tuple[list[tuple], list[t
         elif v == b"BT":
             tm = line = (1, 0, 0, 1, 0, 0)
         elif v == b"Tf" and n:
-            size = float(n[-1])
+            size, font = float(n[-1]), str(args[0])
         elif v == b"TL" and n:
             lead = float(n[0])
         elif v in (b"Td", b"TD") and len(n) == 2:
@@ -285,9 +406,9 @@ def interpret(content: bytes, advance: float = 0.5) -> tuple[list[tuple], list[t
         elif v in (b"Tj", b"'", b'"') and args:
             if v != b"Tj":
                 line = tm = _times((1, 0, 0, 1, 0, -lead), line)
-            show(shown(args[-1]) or "")
+            show(read(args[-1]))
         elif v == b"TJ" and args and isinstance(args[-1], list):
-            show("".join(shown(a) if isinstance(a, tuple) else " " if isinstance(a, int | float) and a < -180 else "" for a in args[-1]))
+            show("".join(read(a) if isinstance(a, tuple) else " " if isinstance(a, int | float) and a < -180 else "" for a in args[-1]))
         elif v == b"m" and len(n) == 2:
             path = [_times((1, 0, 0, 1, *n), ctm)[4:]]
         elif v == b"l" and len(n) == 2:
@@ -364,7 +485,7 @@ def evidence(files: DataFrame) -> DataFrame:
                 try:
                     doc = Document(bytes(content or b""))
                     for i, page in enumerate(doc.pages()):
-                        spans, shapes = interpret(doc.content(page))
+                        spans, shapes = interpret(doc.content(page), fonts=doc.fonts(page))
                         rows += [(path, i, "span", t, x0, y0, x1, y1, s, None) for t, x0, y0, x1, y1, s in spans]
                         rows += [(path, i, k, None, x0, y0, x1, y1, p, None) for k, x0, y0, x1, y1, p in shapes]
                     rows += [(path, p, "widget", f"{n}={v or ''}", x0, y0, x1, y1, None, None) for n, _, v, p, x0, y0, x1, y1 in widgets(doc)]
@@ -399,6 +520,11 @@ def _text(s: str) -> bytes:
     return b"(" + re.sub(rb"([\\()])", rb"\\\1", s.encode("latin-1", "replace")) + b")"
 
 
+def _value(s: str) -> bytes:
+    """A string of a field, whatever its characters."""
+    return b"(" + re.sub(rb"([\\()\r])", lambda m: b"\\r" if m[0] == b"\r" else b"\\" + m[0], pdftext.encode(s)) + b")"
+
+
 def _drawn(item: tuple) -> bytes:
     """Operators that draw one item: text, line, rect or circle."""
     kind, *v = item
@@ -451,7 +577,7 @@ def _file(ops: list[bytes], fields: list[tuple], width: float, height: float) ->
         b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
     ]
     for label, kind, value, r in fields:
-        body.append(b"<< /Type /Annot /Subtype /Widget /FT /%s /T %s /V %s /Rect [%d %d %d %d] /P 3 0 R >>" % (b"Btn" if kind == "checkbox" else b"Tx", _text(label), _text(value), *r))
+        body.append(b"<< /Type /Annot /Subtype /Widget /FT /%s /T %s /V %s /Rect [%d %d %d %d] /P 3 0 R >>" % (b"Btn" if kind == "checkbox" else b"Tx", _value(label), _value(value), *r))
     out, places = bytearray(b"%PDF-1.7\n"), []
     for i, b in enumerate(body, 1):
         places.append(len(out))
