@@ -46,8 +46,8 @@ def test_word_cache_gives_the_library_ids(tokenizer):
 
 
 def test_small_caches_still_give_the_library_ids(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 7)
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
+    monkeypatch.setattr(tokens, "CACHE_PLAIN", 60)
+    monkeypatch.setattr(tokens, "CACHE_OTHER", 40)
     encode = tokens.WordEncoder(tokens.tokenizer_path()).encode
     for t in texts(9, 10):
         assert np.frombuffer(encode(t), "<u2").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
@@ -279,7 +279,7 @@ def test_skipping_sure_chains_changes_no_label():
     model = secrets.learn([" ".join(r.choice(["the", "of", "House"]) for _ in range(100))])
     words = [r.choice(["the", "of", "x9Y8z7W6v5U4t3S2r1Q0", "4845168114407329", "$$$", "token", "="]) for _ in range(1000)]
     quick = secrets.tagged_words(words, model)
-    model.gain = float("inf")
+    model.gain = np.full(secrets.LABELS, np.inf)
     assert (secrets.tagged_words(words, model) == quick).all()
 
 
