@@ -96,29 +96,30 @@ def common_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(h, k, n): the first n - ceil(0.8 n) + 1 of each row's n shingles, in order of their hashes, the common ones last."""
+    """(h, k, n, c, listed): the first n - ceil(0.8 n) + 1 of each row's n shingles, in order of their hashes, the c common ones last, and whether h is one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
 
         def out() -> pa.RecordBatch:
-            sizes = [len(h) for h, _, _ in held]
-            columns = [np.concatenate([h for h, _, _ in held]), *(np.repeat(np.array([r[i] for r in held], np.int64), sizes) for i in (1, 2))]
+            sizes = [len(r[0]) for r in held]
+            columns = [np.concatenate([r[0] for r in held]), *(np.repeat(np.array([r[i] for r in held], np.int64), sizes) for i in (1, 2, 3))]
+            columns.append(np.concatenate([np.arange(len(h)) >= n - c for h, _, n, c in held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k", "n", "c", "listed"])
 
         rows = 0
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 own = shingles(words)
-                n = len(own)
+                n, c = len(own), 0
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                    own = np.concatenate([own[~last], own[last]])
-                held.append((own[: n - (4 * n + 4) // 5 + 1], text_key(words), n))
+                    own, c = np.concatenate([own[~last], own[last]]), int(last.sum())
+                held.append((own[: n - (4 * n + 4) // 5 + 1], text_key(words), n, c))
                 rows += len(held[-1][0])
                 if rows >= OUT_SHINGLES:
                     yield out()
@@ -126,7 +127,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "h bigint, k bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "h bigint, k bigint, n bigint, c bigint, listed boolean")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -148,8 +149,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
     return pairs.join(left, "u").join(right, "v").where(common * 9 >= (F.size("hu") + F.size("hv")) * 4).select("u", "v")
 
 
-#: Sizes of two sets of a similarity of 0.8 or more.
+#: Sizes of two sets of a similarity of 0.8 or more; and that two sets meeting at a common shingle have enough
+#: common ones. All uncommon shingles of such sets are among their first, so what shares one of those meets there.
 _LIKE = "5 * nu >= 4 * nv AND 5 * nv >= 4 * nu"
+_ENOUGH = "(NOT listed OR 9 * least(cu, cv) >= 4 * (nu + nv))"
 
 
 def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
@@ -158,31 +161,32 @@ def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with its fingerprint fp and the doc_id of a row, rep.
 
     The index's proposals are verified first. The nodes of a shingle are paired with each other if they are few. Of more, each is
-    first held against the smallest; what that joins needs no further link, so pairs are
+    first held against the one with the smallest set; what that joins needs no further link, so pairs are
     made of nodes in different groups only, and a large group of copies gives as many
     links as it has members.
     """
     spread, alone = Window.partitionBy("h"), prefixes(docs, common_shingles(docs, n_docs))
     some = alone.withColumns({"a": F.min("k").over(spread), "b": F.max("k").over(spread)}).where("a <> b")
-    some = materialize(some.select("h", "k", "n").distinct(), "prefixes")
-    large = materialize(some.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("k", "n")).alias("first")).where(F.col("size") > FEW), "large")
+    some = materialize(some.select("h", "k", "n", "c", "listed").distinct(), "prefixes")
+    large = materialize(some.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("n", "k")).alias("first")).where(F.col("size") > FEW), "large")
     calm, hot = some.join(large.select("h"), "h", "left_anti"), some.join(large.select("h"), "h", "left_semi")
     stars = some.join(large, "h").select(F.col("first.k").alias("u"), F.col("k").alias("v"), F.col("first.n").alias("nu"), F.col("n").alias("nv"))
     stars = stars.where(f"u <> v AND {_LIKE}").select("u", "v").unionByName(proposed(classes))
     stars = materialize(stars.distinct(), "stars")
     first = materialize(_verified(docs, classes, stars, "stars"), "first_links")
     group = connected(first).select(F.col("node").alias("k"), "component")
-    grouped = hot.join(group, "k", "left").select("h", "k", "n", F.coalesce("component", "k").alias("c"))
-    grouped = materialize(grouped.withColumns({"a": F.min("c").over(spread), "b": F.max("c").over(spread)}).where("a <> b").select("h", "k", "n", "c"), "grouped")
+    grouped = hot.join(group, "k", "left").select("h", "k", "n", "c", "listed", F.coalesce("component", "k").alias("g"))
+    grouped = materialize(grouped.withColumns({"a": F.min("g").over(spread), "b": F.max("g").over(spread)}).where("a <> b").select("h", "k", "n", "c", "listed", "g"), "grouped")
 
     def paired(rows: DataFrame, differ: str) -> DataFrame:
-        left, right = (rows.select("h", *(F.col(c).alias(f"{c}{side}") for c in rows.columns if c != "h")) for side in "uv")
-        left, right = left.withColumnRenamed("ku", "u"), right.withColumnRenamed("kv", "v")
-        return left.join(right, "h").where(f"u < v AND {_LIKE}{differ}").select("u", "v", "nu", "nv")
+        left, right = (rows.select("h", "listed", *(F.col(c).alias(f"{c}{side}") for c in rows.columns if c not in ("h", "listed"))) for side in "uv")
+        left, right = left.withColumnRenamed("ku", "u"), right.drop("listed").withColumnRenamed("kv", "v")
+        return left.join(right, "h").where(f"u < v AND {_LIKE} AND {_ENOUGH}{differ}").select("u", "v", "nu", "nv", "cu", "cv")
 
     # What two prefixes do not have in common, all that follows the one that ends first has to make up for.
-    most = F.col("c") - 1 + F.floor((F.greatest("nu", "nv") * 4 + 4) / 5)
-    pairs = paired(calm, "").unionByName(paired(grouped, " AND cu <> cv")).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
+    # Where they meet at common shingles alone that are too few, all uncommon ones have been counted.
+    most = F.greatest(F.col("c") - 1 + F.floor((F.greatest("nu", "nv") * 4 + 4) / 5), F.col("c") + F.least("cu", "cv"))
+    pairs = paired(calm, "").unionByName(paired(grouped, " AND gu <> gv")).groupBy("u", "v", "nu", "nv", "cu", "cv").agg(F.count("*").alias("c"))
     pairs = materialize(pairs.where(most * 9 >= (F.col("nu") + F.col("nv")) * 4).select("u", "v"), "pairs")
     return first.unionByName(_verified(docs, classes, pairs, "pairs"))
 
