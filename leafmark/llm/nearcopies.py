@@ -153,6 +153,32 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
 #: common ones. All uncommon shingles of such sets are among their first, so what shares one of those meets there.
 _LIKE = "5 * nu >= 4 * nv AND 5 * nv >= 4 * nu"
 _ENOUGH = "(NOT listed OR 9 * least(cu, cv) >= 4 * (nu + nv))"
+#: Shingles two sets may share beyond the first ones that they share: all that follows the first of the set whose
+#: first ones end first, or, if a common one is among those, all common ones.
+_BEYOND = "greatest((4 * greatest(nu, nv) + 4) div 5 - 1, least(cu, cv))"
+#: That two sets with wu and wv shingles of many nodes among their first may be alike and meet at those alone.
+#: What also meets at a shingle of few nodes is found there.
+_ALONE = f"9 * (least(wu, wv) + {_BEYOND}) >= 4 * (nu + nv)"
+
+
+def _hubs(hot: DataFrame) -> DataFrame:
+    """Pairs (u, v): each node of a shingle of many with those of its nodes that lie most in common shingles, one for each range of sizes.
+
+    Copies with changes here and there are often too far from each other, yet near the text they were made
+    of, which has fewest shingles of its own.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)))
+    hubs = hot.groupBy("h", band.alias("band")).agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "n", "k", "c", "w")).alias("hub"))
+    hubs = hubs.select("h", *(F.col(f"hub.{a}").alias(b) for a, b in (("k", "u"), ("n", "nu"), ("c", "cu"), ("w", "wu"))))
+    rows = hot.select("h", "listed", *(F.col(a).alias(b) for a, b in (("k", "v"), ("n", "nv"), ("c", "cv"), ("w", "wv")))).join(hubs, "h")
+    return rows.where(f"u <> v AND {_LIKE} AND {_ENOUGH} AND {_ALONE}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _paired(rows: DataFrame, also: str = "") -> DataFrame:
+    """(u, v, nu, nv, cu, cv, wu, wv): two nodes that meet at a shingle and may be alike, once for each such shingle."""
+    left, right = (rows.select("h", "listed", *(F.col(c).alias(f"{c}{side}") for c in rows.columns if c not in ("h", "listed"))) for side in "uv")
+    left, right = left.withColumnRenamed("ku", "u"), right.drop("listed").withColumnRenamed("kv", "v")
+    return left.join(right, "h").where(f"u < v AND {_LIKE} AND {_ENOUGH}{also}").select("u", "v", "nu", "nv", "cu", "cv", "wu", "wv")
 
 
 def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
@@ -161,32 +187,34 @@ def near_links(docs: DataFrame, classes: DataFrame, n_docs: int) -> DataFrame:
     docs: n_docs rows of doc_id (not null) and text. classes: each node k once, with its fingerprint fp and the doc_id of a row, rep.
 
     The index's proposals are verified first. The nodes of a shingle are paired with each other if they are few. Of more, each is
-    first held against the one with the smallest set; what that joins needs no further link, so pairs are
+    first held against a few hubs; what that joins needs no further link, so pairs are
     made of nodes in different groups only, and a large group of copies gives as many
-    links as it has members.
+    links as it has members. Of those, only nodes with so many such shingles among their first that they can be alike
+    without meeting at a shingle of few nodes are paired.
     """
     spread, alone = Window.partitionBy("h"), prefixes(docs, common_shingles(docs, n_docs))
     some = alone.withColumns({"a": F.min("k").over(spread), "b": F.max("k").over(spread)}).where("a <> b")
-    some = materialize(some.select("h", "k", "n", "c", "listed").distinct(), "prefixes")
-    large = materialize(some.groupBy("h").agg(F.count("*").alias("size"), F.min(F.struct("n", "k")).alias("first")).where(F.col("size") > FEW), "large")
-    calm, hot = some.join(large.select("h"), "h", "left_anti"), some.join(large.select("h"), "h", "left_semi")
-    stars = some.join(large, "h").select(F.col("first.k").alias("u"), F.col("k").alias("v"), F.col("first.n").alias("nu"), F.col("n").alias("nv"))
-    stars = stars.where(f"u <> v AND {_LIKE}").select("u", "v").unionByName(proposed(classes))
-    stars = materialize(stars.distinct(), "stars")
+    return _links(docs, classes, materialize(some.select("h", "k", "n", "c", "listed").distinct(), "prefixes"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, some: DataFrame) -> DataFrame:
+    """near_links from the first shingles that several nodes have."""
+    spread = Window.partitionBy("h")
+    large = materialize(some.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > FEW).select("h"), "large")
+    hot = some.join(large, "h", "left_semi")
+    many = materialize(hot.groupBy("k").agg(F.count("*").alias("w")), "many")
+    hot = materialize(hot.join(many, "k"), "hot")
+    calm = some.join(large, "h", "left_anti").join(many, "k", "left").fillna(0, "w")
+    stars = materialize(_hubs(hot).unionByName(proposed(classes)).distinct(), "stars")
     first = materialize(_verified(docs, classes, stars, "stars"), "first_links")
     group = connected(first).select(F.col("node").alias("k"), "component")
-    grouped = hot.join(group, "k", "left").select("h", "k", "n", "c", "listed", F.coalesce("component", "k").alias("g"))
-    grouped = materialize(grouped.withColumns({"a": F.min("g").over(spread), "b": F.max("g").over(spread)}).where("a <> b").select("h", "k", "n", "c", "listed", "g"), "grouped")
-
-    def paired(rows: DataFrame, differ: str) -> DataFrame:
-        left, right = (rows.select("h", "listed", *(F.col(c).alias(f"{c}{side}") for c in rows.columns if c not in ("h", "listed"))) for side in "uv")
-        left, right = left.withColumnRenamed("ku", "u"), right.drop("listed").withColumnRenamed("kv", "v")
-        return left.join(right, "h").where(f"u < v AND {_LIKE} AND {_ENOUGH}{differ}").select("u", "v", "nu", "nv", "cu", "cv")
-
-    # What two prefixes do not have in common, all that follows the one that ends first has to make up for.
-    # Where they meet at common shingles alone that are too few, all uncommon ones have been counted.
-    most = F.greatest(F.col("c") - 1 + F.floor((F.greatest("nu", "nv") * 4 + 4) / 5), F.col("c") + F.least("cu", "cv"))
-    pairs = paired(calm, "").unionByName(paired(grouped, " AND gu <> gv")).groupBy("u", "v", "nu", "nv", "cu", "cv").agg(F.count("*").alias("c"))
+    grouped = hot.join(group, "k", "left").select("h", "k", "n", "c", "w", "listed", F.coalesce("component", "k").alias("g"))
+    grouped = materialize(grouped.withColumns({"a": F.min("g").over(spread), "b": F.max("g").over(spread)}).where("a <> b").select("h", "k", "n", "c", "w", "listed", "g"), "grouped")
+
+    pairs = _paired(calm).unionByName(_paired(grouped, f" AND gu <> gv AND {_ALONE}"))
+    pairs = pairs.groupBy(*pairs.columns).agg(F.count("*").alias("c"))
+    # What two prefixes do not have in common, all that follows has to make up for; and meetings left out above may have been any.
+    most = F.col("c") + F.expr(f"IF({_ALONE}, 0, least(wu, wv)) + {_BEYOND}")
     pairs = materialize(pairs.where(most * 9 >= (F.col("nu") + F.col("nv")) * 4).select("u", "v"), "pairs")
     return first.unionByName(_verified(docs, classes, pairs, "pairs"))
 

@@ -68,6 +68,66 @@ def test_a_large_group_of_near_copies_makes_few_links(spark):
     assert [r["doc_id"] for r in nearcopies.keep_first(docs).collect()] == [0]
 
 
+@pytest.fixture
+def verified(monkeypatch):
+    """How many pairs are held against the exact similarity, by name."""
+    seen, own = {}, nearcopies._verified
+
+    def counted(docs, classes, pairs, name):
+        seen[name] = pairs.count()
+        return own(docs, classes, pairs, name)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    return seen
+
+
+def test_copies_of_a_text_meet_at_that_text(spark, verified):
+    """Copies changed at random places are far from each other, but not from the text; a smaller one with the same words joins none."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base[i : i + 75]) for i in range(0, 75, 25)] + [" ".join(base)]
+    for _ in range(200):
+        new = list(base)
+        for _ in range(3):
+            new[r.randrange(5, 145)] = f"x{r.randrange(10**9)}"
+        texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in nearcopies.keep_first(docs).collect()} == brute(texts)
+    assert verified["stars"] + verified["pairs"] < 6 * len(texts)
+
+
+def test_frequent_shingles_that_are_not_listed_pair_few(spark, monkeypatch):
+    """A text with few shingles of many nodes can be like another only if they meet at a shingle of few nodes too."""
+    made, own = [], nearcopies._paired
+
+    def counted(rows, also=""):
+        out = own(rows, also)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "_paired", counted)
+    monkeypatch.setattr(nearcopies, "COMMON", 0)
+    r = random.Random(6)
+    runs = [[f"f{i}_{j}" for j in range(5)] for i in range(40)]
+    texts = [" ".join(w for i in r.sample(range(40), 20) for w in [*runs[i], *(f"x{r.randrange(10**9)}" for _ in range(6))]) for _ in range(200)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "FEW", 10)
+    assert {x["doc_id"] for x in nearcopies.keep_first(docs).collect()} == brute(texts) == set(range(200))
+    # Each copy meets its text at up to a fifth of some 215 shingles.
+    assert made[0] < 60 * len(texts) and made[1] < 2 * len(texts)
+
+
+@pytest.mark.parametrize(("seed", "few", "listed"), [(3, 1, 0), (3, 3, 30), (4, 2, 0), (4, 8, 200)])
+def test_groups_whatever_is_listed(spark, seed, few, listed, monkeypatch):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    monkeypatch.setattr(nearcopies, "COMMON", listed)
+    monkeypatch.setattr(nearcopies, "RADIUS", 0)
+    texts = corpus(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in nearcopies.keep_first(docs).collect()} == brute(texts)
+
+
 def test_columns_of_any_kind_and_name(spark):
     docs = spark.sql("SELECT * FROM VALUES (1L, 'a b c d e f', map('k', 1), 5), (2L, 'a b c d e f', map('k', 2), 6), (2L, 'z', null, 7), (3L, 'q', null, 8) AS t(doc_id, text, m, `x.y`)")
     got = nearcopies.keep_first(docs)
