@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmark.operators import detectors
 from leafmark.plans.catalog import query
 from leafmark.sources import pdf
-from leafmark.storage import table
+from leafmark.storage import dealt, table
 
 LABELS = ("Given name", "Town", "Employer", "Job title", "Policy", "Reference")
 
@@ -74,13 +74,13 @@ def free(k: int) -> list[tuple]:
 
 def detected(spark, sf_dir, draw: Callable[[int], list[tuple]]) -> DataFrame:
     """Candidates of a drawn page for each customer, boxes in whole hundredths."""
-    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    keys = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"path": b["c_custkey"].astype(str), "content": [pdf.write_drawing(draw(int(k))) for k in b["c_custkey"]]})
 
-    found = detectors.detect(pdf.evidence(keys.mapInPandas(write, "path string, content binary")))
+    found = detectors.detect_files(keys.mapInPandas(write, "path string, content binary"))
     edges = (F.round(F.col(e) * 100).cast("long").alias(e) for e in ("x0", "y0", "x1", "y1"))
     return found.select(F.col("path").cast("long").alias("k"), "detector", "field_type", "label", *edges, *(F.col(c) for c in ("group_id", "cells", "hint")))
 
