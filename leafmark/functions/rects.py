@@ -21,6 +21,14 @@ def rect(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.when(whole, F.struct(*(p.alias(n) for p, n in zip(parts, ("x0", "y0", "x1", "y1"), strict=True))))
 
 
+EDGES = ("x0", "y0", "x1", "y1")
+
+
+def whole(r: str) -> Column:
+    """A rectangle column that has all its edges, as a struct that cannot be null: expressions on it are a third as long."""
+    return F.struct(*(F.coalesce(F.col(r)[e].cast("double"), F.lit(0.0)).alias(e) for e in EDGES)).alias(r)
+
+
 def normalized(r: Column) -> Column:
     return rect(F.least(r["x0"], r["x1"]), F.least(r["y0"], r["y1"]), F.greatest(r["x0"], r["x1"]), F.greatest(r["y0"], r["y1"]))
 

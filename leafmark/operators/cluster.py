@@ -7,12 +7,15 @@ Every sort ends in the id.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import rects as R
 from leafmark.operators.grouped import by_group
-from leafmark.operators.spatial import range_join
+from leafmark.operators.spatial import among, range_join
 
 EDGES = ["x0", "y0", "x1", "y1"]
 
@@ -25,7 +28,7 @@ def _kinds(df: DataFrame) -> tuple[str, str]:
 def components(rects: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Transitive clusters of a page's rectangles whose IoU exceeds the threshold: page, id, cluster (its smallest id)."""
     page_kind, id_kind = _kinds(rects)
-    near = range_join(rects, rects, (F.col("a.id") < F.col("b.id")) & (R.iou(F.col("a.r"), F.col("b.r")) > threshold))
+    near = among(rects, (F.col("a.id") < F.col("b.id")) & (R.iou(F.col("a.r"), F.col("b.r")) > threshold))
     links = near.select("page", F.col("a.id").alias("id"), F.col("b.id").alias("other"))
     rows = rects.select("page", "id", F.col("id").alias("other")).unionByName(links)
 
@@ -51,18 +54,22 @@ def suppress(rects: DataFrame, threshold: float = 0.80, limit: int = 200) -> Dat
     page_kind, id_kind = _kinds(rects)
     a, b = F.col("a.r"), F.col("b.r")
     larger = F.struct((-R.area(a)).alias("s"), F.col("a.id").alias("i")) < F.struct((-R.area(b)).alias("s"), F.col("b.id").alias("i"))
-    near = range_join(rects, rects, larger & (R.contains(a, b) | (R.iou(a, b) > threshold)))
-    over = near.groupBy("page", F.col("b.id").alias("id")).agg(F.collect_set("a.id").alias("over"))
-    rows = rects.select("page", "id", (-R.area(F.col("r"))).alias("size")).join(over, ["page", "id"], "left")
+    near = among(rects, larger & (R.contains(a, b) | (R.iou(a, b) > threshold)))
+    none = F.lit(None).cast(id_kind).alias("over")
+    rows = rects.select("page", "id", (-R.area(F.col("r"))).alias("size"), none)
+    rows = rows.unionByName(near.select("page", F.col("b.id").alias("id"), (-R.area(F.col("b.r"))).alias("size"), F.col("a.id").alias("over")))
 
     def pick(page: list[tuple]) -> list[tuple]:
-        kept: set = set()
-        for _, i, _, over in page:
-            if len(kept) < limit and not (over and not kept.isdisjoint(over)):
-                kept.add(i)
-        return [(page[0][0], i) for _, i, *_ in page if i in kept]
-
-    return by_group(rows, ["page"], ["size", "id"], pick, f"page {page_kind}, id {id_kind}")
+        kept: dict = {}
+        for (i, _), own in groupby(page, key=itemgetter(1, 2)):
+            if len(kept) >= limit:
+                break
+            own = list(own)
+            if i not in kept and not any(r[3] in kept for r in own):
+                kept[i] = sum(r[3] is None for r in own)
+        return [(page[0][0], i) for i, times in kept.items() for _ in range(times)]
+
+    return by_group(rows, ["page"], ["size", "id", "over"], pick, f"page {page_kind}, id {id_kind}")
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins over rectangles: overlap, containment, adjacency and nearest neighbours.
 
-Where the largest page has few rectangles, as counted first, rows meet on the page. Else
+Where the largest page has few rectangles, as counted first, rows meet on the page; those
+of one table as the page's list, so they are shuffled once and sorted never. Else
 they meet on a page and a grid cell, so a page that holds a large share of all rectangles
 is spread over many keys. A pair is kept in the one cell that holds the lower corner of
 the two rectangles' common box, so nothing needs to be made distinct.
@@ -25,6 +26,11 @@ def _cells(df: DataFrame, box: Column, cell: float, prefix: str) -> DataFrame:
     return df.withColumn("cy", F.explode(F.sequence(F.col(f"{prefix}cy0"), F.greatest(F.col(f"{prefix}cy0"), at(box["y1"])))))
 
 
+def _near(a: Column, b: Column, dx: float, dy: float) -> Column:
+    """True if two boxes come within reach of each other; touching counts."""
+    return (a["x0"] - dx <= b["x1"]) & (b["x0"] <= a["x1"] + dx) & (a["y0"] - dy <= b["y1"]) & (b["y0"] <= a["y1"] + dy)
+
+
 def _most(rects: DataFrame) -> int:
     """Rectangles of the largest page."""
     return rects.where("page IS NOT NULL").groupBy("page").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -36,26 +42,39 @@ def range_join(left: DataFrame, right: DataFrame, keep: Column, reach: tuple[flo
     Both tables have page and r (a rectangle); the result has structs a and b. Rows
     with a null page or rectangle pair with nothing.
     """
-    a = left.where("r IS NOT NULL").select("page", F.struct(*left.columns).alias("a"), R.inflated(F.col("r"), *reach).alias("box"))
-    b = right.where("r IS NOT NULL").select("page", F.struct(*right.columns).alias("b"), F.col("r").alias("other"))
-    if _most(left) <= FEW and (right is left or _most(right) <= FEW):
-        return a.join(b, "page").where(R.intersects(F.col("box"), F.col("other")) & keep).select("page", "a", "b")
-    a, b = _cells(a, F.col("box"), cell, "a"), _cells(b, F.col("other"), cell, "b")
+    few = _most(left) <= FEW and (right is left or _most(right) <= FEW)
+    one = lambda df, name: df.where(" AND ".join(f"r.{e} IS NOT NULL" for e in R.EDGES)).select("page", F.struct(*(R.whole("r") if c == "r" else c for c in df.columns)).alias(name))
+    near = _near(F.col("a.r"), F.col("b.r"), *reach)
+    if few and right is left:
+        pages = one(left, "a").groupBy("page").agg(F.collect_list("a").alias("g")).where("page IS NOT NULL")
+        met = pages.select("page", "g", F.explode("g").alias("a")).select("page", "a", F.explode("g").alias("b"))
+        return met.where(near & keep)
+    if few:
+        return one(left, "a").repartition("page").join(one(right, "b").repartition("page"), "page").where(near & keep).select("page", "a", "b")
+    (dx, dy), r = reach, F.col("a.r")
+    box = F.struct((r["x0"] - dx).alias("x0"), (r["y0"] - dy).alias("y0"), (r["x1"] + dx).alias("x1"), (r["y1"] + dy).alias("y1"))
+    a, b = _cells(one(left, "a"), box, cell, "a"), _cells(one(right, "b"), F.col("b.r"), cell, "b")
     met = a.join(b, ["page", "cx", "cy"])
     once = (F.col("cx") == F.greatest("acx0", "bcx0")) & (F.col("cy") == F.greatest("acy0", "bcy0"))
-    return met.where(once & R.intersects(F.col("box"), F.col("other")) & keep).select("page", "a", "b")
+    return met.where(once & near & keep).select("page", "a", "b")
+
+
+def among(rects: DataFrame, keep: Column, reach: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``range_join`` of rectangles with themselves, by page, id and r alone."""
+    rows = rects.select("page", "id", "r")
+    return range_join(rows, rows, keep, reach)
 
 
 def overlap_pairs(rects: DataFrame, threshold: float = 0.10) -> DataFrame:
     """Pairs of a page's rectangles (a before b by id) whose IoU exceeds the threshold."""
-    found = range_join(rects, rects, (F.col("a.id") < F.col("b.id")) & (R.iou(F.col("a.r"), F.col("b.r")) > threshold))
+    found = among(rects, (F.col("a.id") < F.col("b.id")) & (R.iou(F.col("a.r"), F.col("b.r")) > threshold))
     return found.select("page", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), R.iou(F.col("a.r"), F.col("b.r")).alias("iou"))
 
 
 def containing_pairs(outer: DataFrame, inner: DataFrame, share: float = 1.0) -> DataFrame:
     """Pairs (a, b), not the same row, where a covers at least a share of b."""
     keep = (F.col("a.id") != F.col("b.id")) & (R.contains(F.col("a.r"), F.col("b.r")) if share >= 1 else R.coverage(F.col("a.r"), F.col("b.r")) >= share)
-    found = range_join(outer, inner, keep)
+    found = among(outer, keep) if inner is outer else range_join(outer.select("page", "id", "r"), inner.select("page", "id", "r"), keep)
     return found.select("page", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
@@ -83,7 +102,7 @@ def relation(a: Column, b: Column, max_gap: float, vertical_gap: float) -> Colum
 def adjacency(rects: DataFrame, max_gap: float = R.LABEL_DISTANCE, vertical_gap: float = 30.0, top: int = 12) -> DataFrame:
     """The strongest neighbours of each rectangle by relation: src, dst, kind, weight, place."""
     rel = relation(F.col("a.r"), F.col("b.r"), max_gap, vertical_gap)
-    found = range_join(rects, rects, (F.col("a.id") != F.col("b.id")) & rel.isNotNull(), (max_gap, vertical_gap))
+    found = among(rects, (F.col("a.id") != F.col("b.id")) & rel.isNotNull(), (max_gap, vertical_gap))
     found = found.select("page", F.col("a.id").alias("src"), F.col("b.id").alias("dst"), rel["kind"].alias("kind"), rel["gap"].alias("gap"))
     scale = F.when(F.col("kind").isin("left_of", "right_of"), R.decay_weight(F.col("gap"), max_gap)).otherwise(R.decay_weight(F.col("gap"), vertical_gap))
     found = found.withColumn("weight", scale)
@@ -107,7 +126,8 @@ def nearest(fields: DataFrame, labels: DataFrame, direction: str, limit: float)
     }[direction]
     shared = R.vertical_overlap(f, s) >= 0.2 * F.least(R.height(f), R.height(s)) if side else R.horizontal_overlap(f, s) >= 0.15 * F.least(R.width(f), R.width(s))
     keep = (F.col("a.id") != F.col("b.id")) & (gap >= -slack) & (gap <= limit) & shared
-    found = range_join(fields, labels, keep, (limit, 0.0) if side else (0.0, limit))
+    reach = (limit, 0.0) if side else (0.0, limit)
+    found = among(fields, keep, reach) if labels is fields else range_join(fields.select("page", "id", "r"), labels.select("page", "id", "r"), keep, reach)
     best = found.groupBy("page", F.col("a.id").alias("field_id")).agg(F.min(F.struct(gap.alias("gap"), s["x0"].alias("x0"), F.col("b.id").alias("label_id"))).alias("m"))
     return best.select("page", "field_id", F.col("m.label_id").alias("label_id"), F.greatest(F.lit(0.0), F.col("m.gap")).alias("gap"))
 
@@ -123,5 +143,5 @@ def mutual_nearest(pairs: DataFrame, left: str, right: str, gap: str) -> DataFra
 def unclaimed(rects: DataFrame, claims: DataFrame, max_iou: float = 0.05, max_share: float = 0.25) -> DataFrame:
     """Rectangles that no claim overlaps by more than an IoU or a share of their area."""
     taken = (F.col("a.id") != F.col("b.id")) & ((R.iou(F.col("a.r"), F.col("b.r")) > max_iou) | (R.coverage(F.col("b.r"), F.col("a.r")) > max_share))
-    hit = range_join(rects, claims, taken).select("page", F.col("a.id").alias("id")).distinct()
+    hit = range_join(rects.select("page", "id", "r"), claims.select("page", "id", "r"), taken).select("page", F.col("a.id").alias("id")).distinct()
     return rects.join(hit, ["page", "id"], "left_anti")
