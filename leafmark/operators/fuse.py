@@ -6,12 +6,16 @@ canonical_key, group_id, sources (array), contexts (array) and evidence (array o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import rects as R
-from leafmark.operators import cluster, decide
+from leafmark.operators import cluster, decide, spatial
 from leafmark.operators.grouped import by_group
+from leafmark.storage import materialize
 
 #: How specific a field type is; the most specific of a cluster stays (fixed values).
 SPECIFIC = {
@@ -82,11 +86,8 @@ def merge_clusters(df: DataFrame, key: str = "cluster") -> DataFrame:
     specific = F.create_map(*(F.lit(x) for kv in SPECIFIC.items() for x in kv))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["kind"]))), ",")
     marked = df.withColumns({"_place": place, "_specific": F.coalesce(F.try_element_at(specific, F.col("field_type")), F.lit(0)), "_signature": F.when(kinds == "", F.array_join(F.array_sort("sources"), ",")).otherwise(kinds)})
-    by_signature = marked.groupBy("page", key, "_signature").agg(F.max("geometry").alias("g"))
-    witnesses = by_signature.groupBy("page", key).agg(F.product(1 - F.col("g")).alias("rest"), F.max("g").alias("top"), F.count("*").alias("witnesses"))
-    raised = F.when(F.col("witnesses") < 2, F.col("top")).otherwise(F.greatest("top", F.least(F.lit(decide.NOISY_CAP), 1 - F.col("rest"))))
     seen = F.transform("evidence", lambda e: F.struct(e["kind"].alias("kind"), F.round(e["score"], 3).alias("score"), e["detail"].alias("detail")))
-    merged = marked.groupBy("page", key).agg(
+    merged = marked.where(F.col("page").isNotNull() & F.col(key).isNotNull()).groupBy("page", key).agg(
         F.min("_place")["id"].alias("id"),
         F.min(F.struct(F.col("_place"), F.col("r")))["r"].alias("r"),
         F.min(F.struct((-F.col("_specific")).alias("s"), F.col("_place"), F.col("field_type").alias("t")))["t"].alias("field_type"),
@@ -95,8 +96,13 @@ def merge_clusters(df: DataFrame, key: str = "cluster") -> DataFrame:
         *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("sources", "contexts")),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(seen)))).alias("evidence"),
         F.count("*").alias("members"),
+        F.collect_list(F.struct("_signature", "geometry")).alias("_seen"),
     )
-    return merged.join(witnesses.select("page", key, raised.alias("geometry")), ["page", key])
+    best = F.transform(F.array_sort(F.array_distinct(F.col("_seen")["_signature"])), lambda n: F.array_max(F.transform(F.filter("_seen", lambda w: w["_signature"].eqNullSafe(n)), lambda w: w["geometry"])))
+    told = F.filter(best, lambda g: g.isNotNull())
+    rest = F.aggregate(told, F.lit(1.0), lambda x, g: x * (1 - g))
+    raised = F.when(F.size(best) < 2, F.array_max(told)).otherwise(F.greatest(F.array_max(told), F.least(F.lit(decide.NOISY_CAP), 1 - rest)))
+    return merged.withColumn("geometry", raised).drop("_seen")
 
 
 Box = tuple[float, float, float, float]
@@ -162,15 +168,102 @@ def suppress_overlaps(df: DataFrame, most: float = MAX_IOU) -> DataFrame:
     return found.select("page", "id", R.rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r"))
 
 
-def fuse(candidates: DataFrame, least: float = LEAST_OVERALL) -> DataFrame:
-    """Clusters merged, scored, overlaps suppressed, weak ones left out, numbered in reading order within the page."""
+def _page_clusters(ids: list, boxes: list[Box | None]) -> list:
+    """For each candidate of a page its cluster as ``cluster.components`` has it."""
+    area = lambda r: abs(r[2] - r[0]) * abs(r[3] - r[1])
+    lead = {i: i for i in ids}
+
+    def root(x: object) -> object:
+        while lead[x] != x:
+            lead[x] = x = lead[lead[x]]
+        return x
+
+    at = sorted((k for k, r in enumerate(boxes) if r is not None), key=lambda k: boxes[k][0])
+    for n, i in enumerate(at):
+        a = boxes[i]
+        for j in at[n + 1 :]:
+            b = boxes[j]
+            if b[0] > a[2]:
+                break
+            common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+            union = area(a) + area(b) - common
+            if ids[i] != ids[j] and union > R.EPS and common / union > DEDUPE_IOU:
+                low, high = sorted((root(ids[i]), root(ids[j])))
+                lead[high] = low
+    return [root(i) for i in ids]
+
+
+def _page_fields(ids: list, scores: list, kinds: list, strong: list[bool], boxes: list[Box]) -> list[dict | None]:
+    """For each candidate of a page what ``suppress_overlaps`` leaves of it and its place; None for those that go."""
+    kept, left = [], {}
+    for k in sorted(range(len(ids)), key=lambda k: (-scores[k], -boxes[k][3], boxes[k][0], boxes[k][2], ids[k])):
+        r = cut_down(boxes[k], kinds[k], kept, MAX_IOU)
+        if r is not None:
+            kept.append(r)
+            left[k] = r
+    out: list[dict | None] = [None] * len(ids)
+    for place, (k, r) in enumerate(sorted(((k, r) for k, r in left.items() if strong[k]), key=lambda x: (-x[1][3], x[1][0], x[1][2], ids[x[0]]))):
+        out[k] = dict(zip(cluster.EDGES, r, strict=True)) | {"order": place}
+    return out
+
+
+def _lists(kind: str, f: Callable[..., list]) -> Callable[..., Column]:
+    """A Column function of a page's lists, from a Python function of lists of one page; only these lists go through Arrow."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    made = to_arrow_type(_parse_datatype_string(kind))
+    return F.arrow_udf(lambda *columns: pa.array([f(*page) for page in zip(*(c.to_pylist() for c in columns), strict=True)], made), kind)
+
+
+def _boxes(edges: tuple[list, ...]) -> list[Box | None]:
+    return [None if None in r else r for r in zip(*edges, strict=True)]
+
+
+def _edges(g: Column) -> list[Column]:
+    return [g["r"][e] for e in cluster.EDGES]
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.where("page IS NOT NULL").groupBy("page").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "page"))).alias("g"))
+
+
+def _with(pages: DataFrame, found: Column) -> DataFrame:
+    """Each candidate c of each page beside what was found for it."""
+    both = F.arrays_zip(F.col("g").alias("c"), found.alias("found"))
+    return pages.select("page", F.explode(both).alias("m")).select("page", F.col("m")["c"].alias("c"), F.col("m")["found"].alias("found"))
+
+
+def _strong(least: float) -> Column:
+    return decide.overall_confidence({a: F.col(a) for a in AXES}) + 1e-6 >= least
+
+
+def _fuse_pages(candidates: DataFrame, least: float) -> DataFrame:
+    """``fuse`` where a page is a list in a row: candidates are shuffled twice, to their page and to be merged on it."""
+    g = F.col("g")
+    clusters = _lists(f"array<{dict(candidates.dtypes)['id']}>", lambda ids, *edges: _page_clusters(ids, _boxes(edges)))
+    fields = _lists("array<struct<x0:double,y0:double,x1:double,y1:double,order:int>>", lambda ids, scores, kinds, strong, *edges: _page_fields(ids, scores, kinds, strong, _boxes(edges)))
+    named = _with(_listed(candidates), clusters(g["id"], *_edges(g))).select("page", "c.*", F.col("found").alias("cluster")).repartition("page")
+    scored = score_candidates(merge_clusters(named)).withColumns({"score": fused(F.col("evidence")), "_strong": F.coalesce(_strong(least), F.lit(False))})
+    kept = _with(_listed(scored), fields(g["id"], g["score"], g["field_type"], g["_strong"], *_edges(g))).where("found IS NOT NULL")
+    own = (F.col("c")[c].alias(c) for c in scored.columns if c not in ("page", "id", "r", "_strong"))
+    return kept.select("page", "c.id", *own, F.struct(*(F.col("found")[e].alias(e) for e in cluster.EDGES)).alias("r"), F.col("found")["order"].alias("order"))
+
+
+def _fuse_crowded(candidates: DataFrame, least: float) -> DataFrame:
+    """``fuse`` where a page may be too large for a list of whole candidates; what is used twice is kept."""
     clusters = cluster.components(candidates.select("page", "id", "r"), DEDUPE_IOU)
     merged = score_candidates(merge_clusters(candidates.join(clusters, ["page", "id"])))
-    scored = merged.withColumn("score", fused(F.col("evidence")))
+    scored = materialize(merged.withColumn("score", fused(F.col("evidence"))), "scored")
     kept = scored.drop("r").join(suppress_overlaps(scored), ["page", "id"])
-    strong = kept.where(decide.overall_confidence({a: F.col(a) for a in AXES}) + 1e-6 >= least)
     order = Window.partitionBy("page").orderBy(*reading_order()[1:])
-    return strong.withColumn("order", F.row_number().over(order) - 1)
+    return kept.where(_strong(least)).withColumn("order", F.row_number().over(order) - 1)
+
+
+def fuse(candidates: DataFrame, least: float = LEAST_OVERALL) -> DataFrame:
+    """Clusters merged, scored, overlaps suppressed, weak ones left out, numbered in reading order within the page."""
+    few = spatial.most_on_a_page(candidates) <= spatial.FEW
+    return (_fuse_pages if few else _fuse_crowded)(candidates, least)
 
 
 def resolve_options(scores: DataFrame, limit: int = 12) -> DataFrame:

@@ -31,7 +31,7 @@ def _near(a: Column, b: Column, dx: float, dy: float) -> Column:
     return (a["x0"] - dx <= b["x1"]) & (b["x0"] <= a["x1"] + dx) & (a["y0"] - dy <= b["y1"]) & (b["y0"] <= a["y1"] + dy)
 
 
-def _most(rects: DataFrame) -> int:
+def most_on_a_page(rects: DataFrame) -> int:
     """Rectangles of the largest page."""
     return rects.where("page IS NOT NULL").groupBy("page").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
@@ -42,7 +42,7 @@ def range_join(left: DataFrame, right: DataFrame, keep: Column, reach: tuple[flo
     Both tables have page and r (a rectangle); the result has structs a and b. Rows
     with a null page or rectangle pair with nothing.
     """
-    few = _most(left) <= FEW and (right is left or _most(right) <= FEW)
+    few = most_on_a_page(left) <= FEW and (right is left or most_on_a_page(right) <= FEW)
     one = lambda df, name: df.where(" AND ".join(f"r.{e} IS NOT NULL" for e in R.EDGES)).select("page", F.struct(*(R.whole("r") if c == "r" else c for c in df.columns)).alias(name))
     near = _near(F.col("a.r"), F.col("b.r"), *reach)
     if few and right is left:
