@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmark.storage import dealt
+
 SECRET = "[redacted]"
 COLUMNS = ("profile_id", "key", "value", "source", "confidence", "sensitivity", "labels_seen")
 #: What a derived value keeps of the confidence of its weakest part (fixed value).
@@ -49,7 +51,9 @@ def derived(vault: DataFrame) -> DataFrame:
     parts = {"first": "person.name.first", "middle": "person.name.middle", "initial": "person.name.middle_initial", "last": "person.name.last"}
     places = {f"{p}_{n}": f"{p}.address.{k}" for p in ("person", "billing", "shipping", "mailing") for n, k in (("s1", "street_1"), ("s2", "street_2"), ("city", "city"), ("region", "region"), ("postal", "postal_code"))}
     wanted = {**parts, **places}
-    wide = vault.where(F.col("key").isin(*wanted.values()) & (F.col("value") != "")).groupBy("profile_id").agg(*(get(k, "value").alias(n) for n, k in wanted.items()), *(get(k, "confidence").alias(f"{n}_c") for n, k in wanted.items()))
+    # Texts are aggregated by sorting; a split of a small file may hold all profiles, so what is wanted of them is dealt first.
+    held = dealt(vault.where(F.col("key").isin(*wanted.values()) & (F.col("value") != "")).select("profile_id", "key", "value", "confidence"), "profile_id")
+    wide = held.groupBy("profile_id").agg(*(get(k, "value").alias(n) for n, k in wanted.items()), *(get(k, "confidence").alias(f"{n}_c") for n, k in wanted.items()))
     c = F.col
     middle = F.coalesce("initial", "middle")
     short = F.when(F.length(middle) > 1, F.concat(F.substring(middle, 1, 1), F.lit("."))).otherwise(middle)
@@ -74,12 +78,15 @@ def scoped_key(key: Column, context: Column) -> Column:
 
 
 def resolve(fields: DataFrame, vault: DataFrame) -> DataFrame:
-    """Each field (profile_id, field, key, context) with its value, confidence and the step that found it: scoped, exact or derived."""
+    """Each field (profile_id, field, key, context) with its value, confidence and the step that found it: scoped, exact or derived.
+
+    A vault may be far larger than the file that it comes from, so it is never broadcast.
+    """
     entries = vault.select("profile_id", "key", F.struct("value", "confidence").alias("e"))
     ready = fields.withColumn("scoped", scoped_key(F.col("key"), F.col("context")))
     names = [("s", "scoped", entries), ("x", "key", entries), ("d", "key", derived(vault).select("profile_id", "key", F.struct("value", "confidence").alias("e")))]
     for name, on, table in names:
-        side = table.select(F.col("profile_id").alias(f"p_{name}"), F.col("key").alias(f"k_{name}"), F.col("e").alias(name))
+        side = table.select(F.col("profile_id").alias(f"p_{name}"), F.col("key").alias(f"k_{name}"), F.col("e").alias(name)).hint("merge")
         ready = ready.join(side, (F.col("profile_id") == F.col(f"p_{name}")) & (F.col(on) == F.col(f"k_{name}")), "left").drop(f"p_{name}", f"k_{name}")
     found = F.coalesce("s", "x", "d")
     step = F.when(F.col("s").isNotNull(), "scoped").when(F.col("x").isNotNull(), "exact").when(F.col("d").isNotNull(), "derived")
