@@ -60,14 +60,11 @@ def suppress(rects: DataFrame, threshold: float = 0.80, limit: int = 200) -> Dat
     rows = rows.unionByName(near.select("page", F.col("b.id").alias("id"), (-R.area(F.col("b.r"))).alias("size"), F.col("a.id").alias("over")))
 
     def pick(page: list[tuple]) -> list[tuple]:
-        kept: dict = {}
+        kept: set = set()
         for (i, _), own in groupby(page, key=itemgetter(1, 2)):
-            if len(kept) >= limit:
-                break
-            own = list(own)
-            if i not in kept and not any(r[3] in kept for r in own):
-                kept[i] = sum(r[3] is None for r in own)
-        return [(page[0][0], i) for i, times in kept.items() for _ in range(times)]
+            if len(kept) < limit and not any(r[3] is not None and r[3] in kept for r in own):
+                kept.add(i)
+        return [(page[0][0], r[1]) for r in page if r[3] is None and r[1] in kept]
 
     return by_group(rows, ["page"], ["size", "id", "over"], pick, f"page {page_kind}, id {id_kind}")
 
